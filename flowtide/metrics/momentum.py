@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.rates import div_or_zero
-from flowtide.plans.slots import keep, previous_slot, running_slots, with_slot
+from flowtide.metrics.frequency import packets_per_slot
+from flowtide.plans.slots import keep, previous_slot, running_slots
 
 MOMENTUM_THRESHOLD = 40.0
 ROC_THRESHOLD = 800.0
@@ -17,10 +18,9 @@ def _or_zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def packet_series(flows: DataFrame, width: str) -> DataFrame:
-    """Packets of each slot next to those of the two slots before it."""
-    base = keep(with_slot(flows, width).groupBy("slot").agg(F.sum("packets").alias("packets")))
-    return previous_slot(base, {"packets": F.col("packets")}, width, k=2)
+def packet_series(slots: DataFrame, width: str) -> DataFrame:
+    """Packets of each slot next to those of the two slots before it; takes (slot, packets)."""
+    return previous_slot(keep(slots.select("slot", "packets")), {"packets": F.col("packets")}, width, k=2)
 
 
 def momentum(series: DataFrame) -> DataFrame:
@@ -78,8 +78,8 @@ def rsi(series: DataFrame, width: str, also: dict[str, tuple] | None = None) ->
     return run.withColumn("rsi", _or_zero(value)).drop("i", "gain_sum", "gain_n", "loss_sum", "loss_n")
 
 
-def stock_market(
-    flows: DataFrame,
+def stock_market_of(
+    slots: DataFrame,
     width: str,
     momentum_threshold: float = MOMENTUM_THRESHOLD,
     roc_threshold: float = ROC_THRESHOLD,
@@ -88,12 +88,14 @@ def stock_market(
 ) -> DataFrame:
     """Momentum, rates of change, RSI, the rate-of-change run and the alarm, a row per slot.
 
+    Takes the packets per slot.
+
     The run counts slots with both rates at or above their threshold, over the counted
     slots only (those with enough momentum); other slots neither extend nor end it. Each
     time it reaches `violations` the RSI is tested: at or above its threshold the alarm
     fires and the count starts again, below it the run stays silent until it ends.
     """
-    series = rate_of_change(packet_series(flows, width), momentum_threshold)
+    series = rate_of_change(packet_series(slots, width), momentum_threshold)
     high = (F.col("roc") >= roc_threshold) & (F.col("roc_prev") >= roc_threshold)
     series = series.withColumns({"hit": F.col("counted") & high, "miss": F.col("counted") & ~high})
     run = {"roc_run": ("since", F.col("hit").cast("bigint"), F.col("miss"))}
@@ -106,3 +108,7 @@ def stock_market(
         "slot", "packets", "momentum", "roc", "roc_prev", "rsi", "roc_run",
         (check & (F.col("failures") == 0)).cast("int").alias("alarm"),
     )
+
+
+def stock_market(flows: DataFrame, width: str, **kw) -> DataFrame:
+    return stock_market_of(packets_per_slot(flows, width), width, **kw)
