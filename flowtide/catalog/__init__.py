@@ -1,0 +1,6 @@
+"""The registered queries, by area."""
+
+from flowtide.catalog import aggregates, filters, scalars, timeslots  # noqa: F401
+from flowtide.catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -17,6 +17,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(values: dict[str, Column], body) -> Column:
+    """Evaluate `values` once per row and hand them to `body` as a struct.
+
+    Inside a lambda an outer expression would be computed again for every element.
+    """
+    row = F.struct(*[e.alias(n) for n, e in values.items()])
+    return F.get(F.transform(F.array(row), body), F.lit(0))
+
+
 def present(x) -> Column:
     return F.filter(_col(x), lambda v: v.isNotNull())
 
@@ -26,16 +35,19 @@ def _total(values: Column) -> Column:
 
 
 def row_mean(x) -> Column:
-    v = present(x)
-    return F.when(F.size(v) > 0, _total(v) / F.size(v))
+    return _let(
+        {"v": present(x)}, lambda s: F.when(F.size(s["v"]) > 0, _total(s["v"]) / F.size(s["v"]))
+    )
 
 
 def row_median(x) -> Column:
-    v = F.sort_array(present(x))
-    n = F.size(v)
-    low = F.get(v, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(v, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+    def middle(s):
+        n = F.size(s["v"])
+        low = F.get(s["v"], F.floor((n - 1) / 2).cast("int"))
+        high = F.get(s["v"], F.floor(n / 2).cast("int"))
+        return F.when(n > 0, (low + high) / 2)
+
+    return _let({"v": F.sort_array(present(x))}, middle)
 
 
 # --- rows -----------------------------------------------------------------------
@@ -47,14 +59,24 @@ def log2_transform(x) -> Column:
 
 
 def center_row(x, method: str = "mean") -> Column:
-    middle = {"mean": row_mean, "median": row_median}[method](x)
-    return F.transform(_col(x), lambda v: v - middle)
+    def centred(s):
+        middle = {"mean": row_mean, "median": row_median}[method](s["x"])
+        return _let({"m": middle}, lambda t: F.transform(s["x"], lambda v: v - t["m"]))
+
+    return _let({"x": _col(x)}, centred)
 
 
 def normalize_row(x) -> Column:
     """Scale to a unit sum of squares; rows of zeros stay."""
-    norm = F.sqrt(_total(F.transform(present(x), lambda v: v * v)))
-    return F.when(norm > 0, F.transform(_col(x), lambda v: v / norm)).otherwise(_col(x))
+
+    def scaled(s):
+        norm = F.sqrt(_total(F.transform(present(s["x"]), lambda v: v * v)))
+        return _let(
+            {"n": norm},
+            lambda t: F.when(t["n"] > 0, F.transform(s["x"], lambda v: v / t["n"])).otherwise(s["x"]),
+        )
+
+    return _let({"x": _col(x)}, scaled)
 
 
 def row_filter(
@@ -72,20 +94,23 @@ def row_filter(
     abs_value, abs_count: at least `abs_count` values with an absolute value of `abs_value`.
     max_min: maximum minus minimum at least this.
     """
-    v = present(x)
-    n = F.size(v)
-    keep = F.lit(True)
-    if percent is not None:
-        keep = keep & (n >= F.ceil(F.lit(float(percent)) * F.size(_col(x)) / 100))
-    if std is not None:
-        mean = row_mean(x)
-        squares = _total(F.transform(v, lambda e: (e - mean) * (e - mean)))
-        keep = keep & F.coalesce((n > 1) & (F.sqrt(F.try_divide(squares, n - 1)) >= std), F.lit(False))
-    if abs_value is not None:
-        keep = keep & (F.size(F.filter(v, lambda e: F.abs(e) >= abs_value)) >= abs_count)
-    if max_min is not None:
-        keep = keep & F.coalesce(F.array_max(v) - F.array_min(v) >= max_min, F.lit(False))
-    return keep
+
+    def test(s) -> Column:
+        v, n = s["v"], F.size(s["v"])
+        keep = F.lit(True)
+        if percent is not None:
+            keep = keep & (n >= F.ceil(F.lit(float(percent)) * s["width"] / 100))
+        if std is not None:
+            squares = _total(F.transform(v, lambda e: (e - s["mean"]) * (e - s["mean"])))
+            spread = F.sqrt(F.try_divide(squares, n - 1))
+            keep = keep & F.coalesce((n > 1) & (spread >= std), F.lit(False))
+        if abs_value is not None:
+            keep = keep & (F.size(F.filter(v, lambda e: F.abs(e) >= abs_value)) >= abs_count)
+        if max_min is not None:
+            keep = keep & F.coalesce(F.array_max(v) - F.array_min(v) >= max_min, F.lit(False))
+        return keep
+
+    return _let({"v": present(x), "mean": row_mean(x), "width": F.size(_col(x))}, test)
 
 
 # --- columns --------------------------------------------------------------------
@@ -107,7 +132,7 @@ def column_middles(rows: DataFrame, features: str, method: str = "mean", by: tup
 
 
 def _per_column(stats: DataFrame, value: str) -> Column:
-    """One value per column as an array in column order; as long as a feature row."""
+    """One value per column as an array in column order, as a scalar subquery."""
     as_map = F.map_from_entries(F.collect_list(F.struct("dim", value)))
     table = stats.agg(as_map.alias("m"), F.max("dim").alias("top"))
     aligned = table.select(F.transform(F.sequence(F.lit(0), F.col("top")), lambda i: F.col("m")[i]))
@@ -116,7 +141,8 @@ def _per_column(stats: DataFrame, value: str) -> Column:
 
 def center_columns(rows: DataFrame, features: str = "features", method: str = "mean") -> DataFrame:
     middles = _per_column(column_middles(rows, features, method), "middle")
-    return rows.withColumn(features, F.transform(features, lambda v, i: v - F.get(middles, i)))
+    centred = F.transform(features, lambda v, i: v - F.get("_m", i))
+    return rows.withColumn("_m", middles).withColumn(features, centred).drop("_m")
 
 
 def normalize_columns(rows: DataFrame, features: str = "features") -> DataFrame:
@@ -124,13 +150,10 @@ def normalize_columns(rows: DataFrame, features: str = "features") -> DataFrame:
     norms = column_values(rows, features).groupBy("dim").agg(
         F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")
     )
-    norms = _per_column(norms, "norm")
-    return rows.withColumn(
-        features,
-        F.transform(
-            features, lambda v, i: F.when(F.get(norms, i) > 0, v / F.get(norms, i)).otherwise(v)
-        ),
+    scaled = F.transform(
+        features, lambda v, i: F.when(F.get("_n", i) > 0, v / F.get("_n", i)).otherwise(v)
     )
+    return rows.withColumn("_n", _per_column(norms, "norm")).withColumn(features, scaled).drop("_n")
 
 
 # --- clusters -------------------------------------------------------------------
@@ -184,26 +207,45 @@ def distance(x: Column, y: Column, metric: str = "euclid", weights: list[float]
         F.arrays_zip(x.alias("x"), y.alias("y"), w.alias("w")),
         lambda e: e["x"].isNotNull() & e["y"].isNotNull(),
     )
-
-    def total(term) -> Column:
-        return _total(F.transform(zipped, lambda e: (e["w"] * term(e["x"], e["y"])).cast("double")))
-
-    sw = total(lambda a, b: F.lit(1.0))
-    if metric == "euclid":
-        out = total(lambda a, b: (a - b) * (a - b)) / sw
-    elif metric == "cityblock":
-        out = total(lambda a, b: F.abs(a - b)) / sw
-    else:
-        xy = total(lambda a, b: a * b)
-        xx = total(lambda a, b: a * a)
-        yy = total(lambda a, b: b * b)
-        if metric in ("correlation", "abs_correlation"):
-            sx, sy = total(lambda a, b: a), total(lambda a, b: b)
-            xy, xx, yy = xy - sx * sy / sw, xx - sx * sx / sw, yy - sy * sy / sw
+    terms = {
+        "w": lambda a, b: F.lit(1.0),
+        "x": lambda a, b: a,
+        "y": lambda a, b: b,
+        "xy": lambda a, b: a * b,
+        "xx": lambda a, b: a * a,
+        "yy": lambda a, b: b * b,
+        "square": lambda a, b: (a - b) * (a - b),
+        "abs": lambda a, b: F.abs(a - b),
+    }
+    needed = {
+        "euclid": ["w", "square"],
+        "cityblock": ["w", "abs"],
+        "uncentered": ["w", "xy", "xx", "yy"],
+        "correlation": ["w", "x", "y", "xy", "xx", "yy"],
+    }[metric.removeprefix("abs_")]
+
+    def sums(s) -> Column:
+        def total(term) -> Column:
+            return _total(F.transform(s["z"], lambda e: (e["w"] * term(e["x"], e["y"])).cast("double")))
+
+        return F.struct(*[total(terms[t]).alias(t) for t in needed])
+
+    def value(s) -> Column:
+        t = s["t"]
+        if metric == "euclid":
+            return t["square"] / t["w"]
+        if metric == "cityblock":
+            return t["abs"] / t["w"]
+        xy, xx, yy = t["xy"], t["xx"], t["yy"]
+        if metric.endswith("correlation"):
+            sx, sy = t["x"], t["y"]
+            xy, xx, yy = xy - sx * sy / t["w"], xx - sx * sx / t["w"], yy - sy * sy / t["w"]
         r = xy / F.sqrt(xx * yy)
         r = F.abs(r) if metric.startswith("abs_") else r
-        out = F.when((xx <= 0) | (yy <= 0), 1.0).otherwise(1.0 - r)
-    return F.when(sw == 0, 0.0).otherwise(out)
+        return F.when((xx <= 0) | (yy <= 0), 1.0).otherwise(1.0 - r)
+
+    totals = _let({"z": zipped}, sums)
+    return _let({"t": totals}, lambda s: F.when(s["t"]["w"] == 0, 0.0).otherwise(value(s)))
 
 
 def row_to_centre(

@@ -24,21 +24,31 @@ def read_flow_stream(spark: SparkSession, path: str, files_per_batch: int | None
 
 
 def with_timeout(stream: DataFrame, timeout_s: int) -> DataFrame:
-    """Slots are released `timeout_s` seconds of flow time after they end; later flows drop."""
-    return stream.withWatermark("first_ts", f"{timeout_s} seconds")
+    """Slots are released `timeout_s` seconds of flow time after they end; later flows drop.
+
+    Adds `event_ts`, the start as a zoned timestamp, which watermarks need.
+    """
+    return stream.withColumn("event_ts", F.col("first_ts").cast("timestamp")).withWatermark(
+        "event_ts", f"{timeout_s} seconds"
+    )
+
+
+def window_start() -> Column:
+    return F.col("window.start").cast("timestamp_ntz").alias("slot")
 
 
 def slot_counters(flows: DataFrame, width: str, timeout_s: int | None = None) -> DataFrame:
     """Flows, packets and bytes per slot, on a stream (with its timeout) or a table."""
-    src = with_timeout(flows, timeout_s) if timeout_s is not None else flows
+    live = timeout_s is not None
+    src = with_timeout(flows, timeout_s) if live else flows
     return (
-        src.groupBy(F.window("first_ts", width))
+        src.groupBy(F.window("event_ts" if live else "first_ts", width))
         .agg(
             F.count(F.lit(1)).alias("flows"),
             F.sum("packets").alias("packets"),
             F.sum("bytes").alias("bytes"),
         )
-        .select(F.col("window.start").alias("slot"), "flows", "packets", "bytes")
+        .select(window_start(), "flows", "packets", "bytes")
     )
 
 
@@ -98,11 +108,11 @@ def channel_counters(stream: DataFrame, channels: dict[str, Column], width: str,
     """Flows, packets and bytes per channel and slot on a stream."""
     return (
         profiles.split(with_timeout(stream, timeout_s), channels)
-        .groupBy("channel", F.window("first_ts", width))
+        .groupBy("channel", F.window("event_ts", width))
         .agg(
             F.count(F.lit(1)).alias("flows"),
             F.sum("packets").alias("packets"),
             F.sum("bytes").alias("bytes"),
         )
-        .select("channel", F.col("window.start").alias("slot"), "flows", "packets", "bytes")
+        .select("channel", window_start(), "flows", "packets", "bytes")
     )

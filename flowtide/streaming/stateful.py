@@ -8,14 +8,15 @@ writes the same rows again instead of doubling them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowtide.metrics.divergence import divergences_of
 from flowtide.metrics.frequency import FREQUENCY_KEYS
 from flowtide.metrics.momentum import stock_market_of
 from flowtide.plans.slots import previous_slot
-from flowtide.streaming.slots import with_timeout
+from flowtide.streaming.slots import window_start, with_timeout
 
 SLOT_ID = "slot_id"
 
@@ -24,14 +25,15 @@ def _slot_id():
     return F.date_format("slot", "yyyyMMddHHmmss")
 
 
-def frequency_stream(stream: DataFrame, key: str, width: str, timeout_s: int) -> DataFrame:
-    """Flow and packet counts per slot and key, for released slots."""
+def key_counts(flows: DataFrame, key: str, width: str, timeout_s: int | None = None) -> DataFrame:
+    """Flow and packet counts per slot and key, on a stream (with its timeout) or a table."""
+    live = timeout_s is not None
     cols = FREQUENCY_KEYS[key]
     return (
-        with_timeout(stream, timeout_s)
-        .groupBy(F.window("first_ts", width), *cols)
+        (with_timeout(flows, timeout_s) if live else flows)
+        .groupBy(F.window("event_ts" if live else "first_ts", width), *cols)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("packets").alias("packets"))
-        .select(F.col("window.start").alias("slot"), *cols, "n", "packets")
+        .select(window_start(), *cols, "n", "packets")
     )
 
 
@@ -46,41 +48,62 @@ def _store(df: DataFrame, path: str) -> None:
     )
 
 
+def add_slots(released: DataFrame, key: str, width: str, folder: str) -> None:
+    """Store the counts of released slots and compute their metrics from the stored state."""
+    spark = released.sparkSession
+    state, counters = f"{folder}/frequencies", f"{folder}/counters"
+    cols = FREQUENCY_KEYS[key]
+    _store(released, state)
+    ids = released.select(_slot_id().alias("id")).agg(F.min("id"), F.max("id")).first()
+    low, high = ids[0], ids[1]
+    stored = spark.read.parquet(state).withColumn(SLOT_ID, F.col(SLOT_ID).cast("string"))
+    fresh = stored.filter(F.col(SLOT_ID).between(low, high))
+    _store(fresh.groupBy("slot").agg(F.sum("packets").alias("packets"), F.sum("n").alias("flows")), counters)
+    slots = spark.read.parquet(counters).select("slot", "flows", "packets")
+    new = _slot_id().between(low, high)
+
+    # the calendar is one row per slot; of the counts only the slots compared are read back
+    cal = previous_slot(slots, {"prev_slot": F.col("slot")}, width).filter(new)
+    first = cal.agg(F.min(F.coalesce("prev_slot", "slot"))).first()[0]
+    recent = stored.filter(F.col(SLOT_ID).between(first.strftime("%Y%m%d%H%M%S"), high))
+    freq = recent.select(F.lit(key).alias("key"), "slot", *cols, "n")
+    _store(divergences_of(freq, cal, (key,)), f"{folder}/divergences")
+    _store(stock_market_of(slots, width).filter(new), f"{folder}/stock_market")
+
+
 def run_stateful(stream: DataFrame, key: str, width: str, timeout_s: int, folder: str) -> StreamingQuery:
     """KL and Renyi divergence of one key and the stock-market indicators, live.
 
     Results land in `<folder>/divergences` and `<folder>/stock_market`, the counts in
     `<folder>/frequencies` and `<folder>/counters`.
     """
-    state, counters = f"{folder}/frequencies", f"{folder}/counters"
-    cols = FREQUENCY_KEYS[key]
 
     def on_batch(batch: DataFrame, _epoch: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        if batch.isEmpty():
-            return
-        _store(batch, state)
-        ids = batch.select(_slot_id().alias("id")).agg(F.min("id"), F.max("id")).first()
-        low, high = ids[0], ids[1]
-        stored = spark.read.parquet(state).withColumn(SLOT_ID, F.col(SLOT_ID).cast("string"))
-        fresh = stored.filter(F.col(SLOT_ID).between(low, high))
-        _store(fresh.groupBy("slot").agg(F.sum("packets").alias("packets"), F.sum("n").alias("flows")), counters)
-        slots = spark.read.parquet(counters).select("slot", "flows", "packets")
-        new = _slot_id().between(low, high)
-
-        # the calendar is one row per slot; only the slots the batch compares are read back
-        cal = previous_slot(slots, {"prev_slot": F.col("slot")}, width).filter(new)
-        first = cal.agg(F.min(F.coalesce("prev_slot", "slot"))).first()[0]
-        recent = stored.filter(F.col(SLOT_ID).between(first.strftime("%Y%m%d%H%M%S"), high))
-        freq = recent.select(F.lit(key).alias("key"), "slot", *cols, "n")
-        _store(divergences_of(freq, cal, (key,)), f"{folder}/divergences")
-        _store(stock_market_of(slots, width).filter(new), f"{folder}/stock_market")
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                add_slots(batch, key, width, folder)
+        finally:
+            batch.unpersist()
 
     return (
-        frequency_stream(stream, key, width, timeout_s)
+        key_counts(stream, key, width, timeout_s)
         .writeStream.outputMode("append")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(on_batch)
         .start()
     )
+
+
+def flush_stateful(landed: DataFrame, key: str, width: str, folder: str) -> None:
+    """At the end of the input, add the slots after the last released one."""
+    spark = landed.sparkSession
+    rest = key_counts(landed, key, width)
+    try:
+        last = spark.read.parquet(f"{folder}/counters").agg(F.max("slot")).first()[0]
+        rest = rest.filter(F.col("slot") > F.lit(last).cast("timestamp_ntz"))
+    except AnalysisException:
+        pass  # nothing was released yet
+    if not rest.isEmpty():
+        add_slots(rest, key, width, folder)
