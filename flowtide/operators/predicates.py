@@ -35,6 +35,13 @@ def scaled(n: int | str) -> int:
     return int(s[:-1] if factor > 1 else s) * factor
 
 
+def _within(what: str, n: int | str, top: int) -> int:
+    v = scaled(n)
+    if not 0 <= v <= top:
+        raise ValueError(f"{what} must be 0..{top}, not {n}")
+    return v
+
+
 def compare(value: Column, cmp: str, n: int | str) -> Column:
     limit = F.lit(scaled(n))
     if cmp in ("=", "==", "eq"):
@@ -127,6 +134,7 @@ def duration(cmp: str, ms) -> Column:
 
 
 def tos(cmp: str, n, direction: str = "src") -> Column:
+    n = _within("tos", n, 255)
     return _sides(direction, compare(F.col("tos"), cmp, n), compare(F.col("dst_tos"), cmp, n))
 
 
@@ -146,9 +154,7 @@ def flags(f: str | int, cmp: str = "=", negate: bool = False) -> Column:
     """
     col = F.col("tcp_flags")
     if isinstance(f, int):
-        if not 0 <= f <= 63:
-            raise ValueError(f"TCP flags out of range: {f}")
-        p = compare(col, cmp, f)
+        p = compare(col, cmp, _within("TCP flags", f, 63))
         return not_(p) if negate else p
     mask = F.lit(_flag_mask(f))
     return col.bitwiseAND(mask) == (F.lit(0) if negate else mask)
@@ -216,6 +222,7 @@ def router(address: str) -> Column:
 
 
 def port(cmp: str, n, direction: str = "either") -> Column:
+    n = _within("port", n, 65535)
     return _sides(direction, compare(F.col("src_port"), cmp, n), compare(F.col("dst_port"), cmp, n))
 
 
@@ -224,11 +231,11 @@ def port_in(ports: list[int], direction: str = "either") -> Column:
 
 
 def icmp_type(n: int) -> Column:
-    return A.is_icmp() & (F.shiftright("dst_port", 8) == n)
+    return A.is_icmp() & (F.shiftright("dst_port", 8) == _within("ICMP type", n, 255))
 
 
 def icmp_code(n: int) -> Column:
-    return A.is_icmp() & (F.col("dst_port").bitwiseAND(F.lit(255)) == n)
+    return A.is_icmp() & (F.col("dst_port").bitwiseAND(F.lit(255)) == _within("ICMP code", n, 255))
 
 
 def engine_type(cmp: str, n) -> Column:
@@ -248,6 +255,7 @@ def as_in(numbers: list[int], direction: str = "either") -> Column:
 
 
 def mask(n: int, direction: str = "either") -> Column:
+    n = _within("mask", n, 255)
     return _sides(direction, F.col("src_mask") == n, F.col("dst_mask") == n)
 
 
@@ -257,6 +265,7 @@ def interface(n: int, direction: str = "either") -> Column:
 
 
 def vlan(n: int, direction: str = "either") -> Column:
+    n = _within("VLAN", n, 65535)
     return _sides(direction, F.col("src_vlan") == n, F.col("dst_vlan") == n)
 
 
