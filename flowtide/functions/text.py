@@ -51,16 +51,25 @@ def _right(text: Column, width: int) -> Column:
     return F.when(F.length(text) < width, F.lpad(text, width, " ")).otherwise(text)
 
 
+def _given(name: str) -> Column:
+    """The field, or 0 when the exporter did not send it."""
+    return F.coalesce(F.col(name), F.lit(0))
+
+
 def _number(name: str, width: int) -> Column:
-    return _right(F.col(name), width)
+    return _right(_given(name), width)
 
 
 def _counter(name: str) -> Column:
-    return _right(scaled_number(F.col(name), True), 8)
+    return _right(scaled_number(_given(name), True), 8)
 
 
 def _address(name: str) -> Column:
-    return _right(A.ip_string(name, long_v6=False), 16)
+    return _right(F.coalesce(A.ip_string(name, long_v6=False), F.lit("0.0.0.0")), 16)
+
+
+def _mac(name: str) -> Column:
+    return A.mac_string(_given(name).cast("bigint"))
 
 
 def _address_port(side: str) -> Column:
@@ -72,7 +81,7 @@ def _net(side: str) -> Column:
     v4, hi, lo = A.network(side)
     v6 = A.condense_v6(A.ip6_string(hi, lo))
     text = F.when(v4.isNotNull(), A.ip4_string(v4)).otherwise(v6)
-    return F.concat(_right(text, 16), F.lit("/"), _left(F.col(f"{side}_mask").cast("string"), 2))
+    return F.concat(_right(text, 16), F.lit("/"), _left(_given(f"{side}_mask").cast("string"), 2))
 
 
 def _proto() -> Column:
@@ -81,7 +90,7 @@ def _proto() -> Column:
 
 
 def _mpls(i: int) -> Column:
-    e = A.mpls_entry(i)
+    e = F.coalesce(A.mpls_entry(i), F.lit(0))
     return F.concat(
         _right(A.label_of(e), 8), F.lit("-"), A.exp_of(e).cast("string"),
         F.lit("-"), A.eos_of(e).cast("string"),
@@ -116,20 +125,20 @@ TOKENS = {
     "ibyt": (" In Byte", lambda: _counter("bytes")),
     "obyt": ("Out Byte", lambda: _counter("out_bytes")),
     "fl": ("Flows", lambda: _number("aggr_flows", 5)),
-    "flg": (" Flags", lambda: flags_string(F.col("tcp_flags"))),
+    "flg": (" Flags", lambda: flags_string(_given("tcp_flags"))),
     "tos": ("Tos", lambda: _number("tos", 3)),
     "stos": ("STos", lambda: _number("tos", 4)),
     "dtos": ("DTos", lambda: _number("dst_tos", 4)),
-    "dir": ("Dir", lambda: _right(F.when(F.col("dir") != 0, F.lit("E")).otherwise(F.lit("I")), 3)),
+    "dir": ("Dir", lambda: _right(F.when(_given("dir") != 0, F.lit("E")).otherwise(F.lit("I")), 3)),
     "smk": ("SMask", lambda: _number("src_mask", 5)),
     "dmk": ("DMask", lambda: _number("dst_mask", 5)),
     "fwd": ("Fwd", lambda: _number("fwd_status", 3)),
     "svln": ("SVlan", lambda: _number("src_vlan", 5)),
     "dvln": ("DVlan", lambda: _number("dst_vlan", 5)),
-    "ismc": ("  In src MAC Addr", lambda: A.mac_string(F.col("in_src_mac"))),
-    "odmc": (" Out dst MAC Addr", lambda: A.mac_string(F.col("out_dst_mac"))),
-    "idmc": ("  In dst MAC Addr", lambda: A.mac_string(F.col("in_dst_mac"))),
-    "osmc": (" Out src MAC Addr", lambda: A.mac_string(F.col("out_src_mac"))),
+    "ismc": ("  In src MAC Addr", lambda: _mac("in_src_mac")),
+    "odmc": (" Out dst MAC Addr", lambda: _mac("out_dst_mac")),
+    "idmc": ("  In dst MAC Addr", lambda: _mac("in_dst_mac")),
+    "osmc": (" Out src MAC Addr", lambda: _mac("out_src_mac")),
     **{
         f"mpls{i}": (f" MPLS lbl {i}".ljust(12), lambda i=i: _mpls(i))
         for i in range(1, 11)
@@ -139,7 +148,7 @@ TOKENS = {
     "pps": ("     pps", lambda: _right(scaled_number(R.pps(), True), 8)),
     "bpp": ("   Bpp", lambda: _right(R.bpp(), 6)),
     "eng": (" engine", lambda: F.concat(
-        _number("engine_type", 3), F.lit("/"), _left(F.col("engine_id").cast("string"), 3))),
+        _number("engine_type", 3), F.lit("/"), _left(_given("engine_id").cast("string"), 3))),
 }
 
 # Named formats.
@@ -166,7 +175,7 @@ def _parts(fmt: str) -> list[tuple[str, str]]:
 
 
 def format_line(fmt: str = "line") -> Column:
-    """One output line per flow; absent fields print as empty text."""
+    """One output line per flow; absent fields print as 0."""
     return F.concat(
         *[
             F.lit(p) if kind == "text" else F.coalesce(TOKENS[p][1](), F.lit(""))
