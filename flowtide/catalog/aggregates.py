@@ -262,12 +262,13 @@ _FIVE = "src_addr, dst_addr, src_port, dst_port, prot"
     f"""WITH s AS (SELECT {_FIVE}, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes,
                           min(first_ts) AS first_ts, max(last_ts) AS last_ts, CAST(sum({_WEIGHT}) AS BIGINT) AS aggr_flows
                    FROM flows GROUP BY ALL), r AS ({_ranked('s', 'aggr_flows', _FIVE, 10)})
-        SELECT {_FIVE}, packets, bytes, aggr_flows, ordered_by, rank_value FROM r""",
+        SELECT {_FIVE}, packets, bytes, {ts('first_ts')} AS first_ts, {ts('last_ts')} AS last_ts, aggr_flows, ordered_by, rank_value
+        FROM r""",
 )
 def _(flows):
     merged = AG.aggregate_flows(flows)
     top = ranking.top_flows(merged, ranking.ORDERS, 10, tie=_FIVE.split(", "))
-    return top.select(*_FIVE.split(", "), "packets", "bytes", "aggr_flows", "ordered_by", "rank_value")
+    return top.drop(*_V6, "out_packets", "out_bytes", "tcp_flags")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Protocol number (the position) -> short name. Number 0 means "not given".
@@ -91,8 +92,16 @@ def fwd_status_number(name: str | int) -> int:
 
 def service_table(spark: SparkSession) -> DataFrame:
     """The lookup as a table: (port, prot, service), `*` rows carry a NULL protocol."""
-    rows = [(p, {"tcp": 6, "udp": 17}.get(t), s) for p, t, s in SERVICES]
-    return spark.createDataFrame(rows, "port int, prot int, service string")
+    numbers = {"tcp": 6, "udp": 17}
+    ports, transports, services = zip(*SERVICES)
+    table = pa.table(
+        {
+            "port": pa.array(ports, pa.int32()),
+            "prot": pa.array([numbers.get(t) for t in transports], pa.int32()),
+            "service": list(services),
+        }
+    )
+    return spark.createDataFrame(table)
 
 
 def service_name(port: Column, prot: Column) -> Column:

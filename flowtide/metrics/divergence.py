@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowtide.metrics.frequency import FREQUENCY_KEYS, frequencies
+from flowtide.metrics.frequency import FREQUENCY_KEYS, KEY_IDS, frequencies, key_name
 from flowtide.plans.slots import calendar, with_slot
 
 KL_THRESHOLD = 1.80
@@ -22,22 +22,22 @@ RENYI_ALPHA = 5
 
 
 def common_key_sums(freq: DataFrame, cal: DataFrame, alpha: float = RENYI_ALPHA) -> DataFrame:
-    """Per (key, slot): the sums over keys that also occur in the previous slot.
+    """Per (key_id, slot): the sums over keys that also occur in the previous slot.
 
     The count of the same key in the last slot it occurred in comes from a window over the
     key, which holds at most one row per slot. Whether that slot is the previous one is
     decided after summing per (slot, that slot), on a small table.
     """
-    values = [c for c in freq.columns if c not in ("key", "slot", "n")]
-    w = Window.partitionBy("key", *values).orderBy("slot")
+    values = [c for c in freq.columns if c not in ("key_id", "slot", "n")]
+    w = Window.partitionBy("key_id", *values).orderBy("slot")
     pairs = freq.select(
-        "key",
+        "key_id",
         "slot",
         F.lag("slot").over(w).alias("seen"),
         F.col("n").cast("double").alias("c"),
         F.lag("n").over(w).cast("double").alias("p"),
     ).filter(F.col("seen").isNotNull())
-    sums = pairs.groupBy("key", "slot", "seen").agg(
+    sums = pairs.groupBy("key_id", "slot", "seen").agg(
         F.count(F.lit(1)).alias("common_keys"),
         F.sum("c").alias("c_sum"),
         F.sum("p").alias("p_sum"),
@@ -64,14 +64,14 @@ def divergences_of(
     kl = F.col("c_log") / c - F.ln(c / p)
     inner = F.col("c_pow") * F.pow(p, F.lit(alpha - 1.0)) / F.pow(c, F.lit(float(alpha)))
     renyi = F.when(inner > 0, F.ln(inner) / F.lit(alpha - 1.0))
-    sums = common_key_sums(freq, cal, alpha).select("key", "slot", "common_keys", kl.alias("kl"), renyi.alias("renyi"))
+    sums = common_key_sums(freq, cal, alpha).select("key_id", "slot", "common_keys", kl.alias("kl"), renyi.alias("renyi"))
     # a slot holds flows, so every key has a row for it
-    grid = cal.select("slot", F.col("prev_slot").isNotNull().alias("has_prev"), F.explode(F.array(*[F.lit(k) for k in keys])).alias("key"))
+    grid = cal.select("slot", F.col("prev_slot").isNotNull().alias("has_prev"), F.explode(F.array(*[F.lit(KEY_IDS[k]) for k in keys])).alias("key_id"))
     zero = F.lit(0.0)
     return (
-        grid.join(sums, ["key", "slot"], "left")
+        grid.join(sums, ["key_id", "slot"], "left")
         .select(
-            "key",
+            key_name().alias("key"),
             "slot",
             F.coalesce("common_keys", F.lit(0).cast("bigint")).alias("common_keys"),
             F.coalesce("kl", zero).alias("kl"),

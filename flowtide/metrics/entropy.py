@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowtide.metrics.frequency import FREQUENCY_KEYS, frequencies, frequency
+from flowtide.metrics.frequency import FREQUENCY_KEYS, KEY_IDS, frequencies, frequency
 
 ENTROPY_THRESHOLD = 0.30
 
@@ -30,9 +30,9 @@ def entropy(flows: DataFrame, key: str, width: str, threshold: float = ENTROPY_T
 
 def entropies_of(freq: DataFrame, keys=tuple(FREQUENCY_KEYS), threshold: float = ENTROPY_THRESHOLD) -> DataFrame:
     """Entropy and alarm of every key from one frequency table, one row per slot."""
-    per_key = freq.groupBy("slot", "key").agg(entropy_of_n().alias("h"))
+    per_key = freq.groupBy("slot", "key_id").agg(entropy_of_n().alias("h"))
     wide = per_key.groupBy("slot").agg(
-        *[F.max(F.when(F.col("key") == k, F.col("h"))).alias(f"entropy_{k}") for k in keys]
+        *[F.max(F.when(F.col("key_id") == KEY_IDS[k], F.col("h"))).alias(f"entropy_{k}") for k in keys]
     )
     return wide.withColumns({f"alarm_{k}": (F.col(f"entropy_{k}") <= threshold).cast("int") for k in keys})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.plans.slots import width_seconds, with_slot
 
@@ -19,6 +19,14 @@ FREQUENCY_KEYS = {
 }
 
 
+#: number of each key in the combined table
+KEY_IDS = {k: i for i, k in enumerate(FREQUENCY_KEYS)}
+
+
+def key_name(key_id: str = "key_id") -> Column:
+    return F.get(F.array(*[F.lit(k) for k in KEY_IDS]), F.col(key_id))
+
+
 def frequency(flows: DataFrame, key: str, width: str) -> DataFrame:
     """Flow count per slot and key: (slot, key columns, n)."""
     return (
@@ -29,7 +37,7 @@ def frequency(flows: DataFrame, key: str, width: str) -> DataFrame:
 
 
 def frequencies(flows: DataFrame, width: str, keys=tuple(FREQUENCY_KEYS)) -> DataFrame:
-    """All frequency tables in one scan: (key, slot, key columns, n).
+    """All frequency tables in one scan: (key_id, slot, key columns, n).
 
     Grouping sets expand a flow to one row per key before the map-side count, so the
     input is read once and shuffled once for all keys; columns outside a key are NULL.
@@ -38,16 +46,16 @@ def frequencies(flows: DataFrame, width: str, keys=tuple(FREQUENCY_KEYS)) -> Dat
     sets = [["slot", *FREQUENCY_KEYS[k]] for k in keys]
     # the grouping id has one bit per grouping column, set when the column is aggregated away
     ids = {
-        k: sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in FREQUENCY_KEYS[k])
+        KEY_IDS[k]: sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in FREQUENCY_KEYS[k])
         for k in keys
     }
-    name = F.create_map(*[F.lit(x) for k, i in ids.items() for x in (i, k)])
+    to_id = F.create_map(*[F.lit(x) for k, i in ids.items() for x in (i, k)])
     return (
         with_slot(flows, width)
         .select("slot", *cols)
         .groupingSets([[F.col(c) for c in s] for s in sets], "slot", *cols)
         .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("_gid"))
-        .select(name[F.col("_gid")].alias("key"), "slot", *cols, "n")
+        .select(to_id[F.col("_gid")].alias("key_id"), "slot", *cols, "n")
     )
 
 
@@ -55,7 +63,7 @@ def unique_counts(flows: DataFrame, width: str, keys=tuple(FREQUENCY_KEYS)) -> D
     """Distinct keys per slot, one column per key."""
     freq = frequencies(flows, width, keys)
     return freq.groupBy("slot").agg(
-        *[F.count(F.when(F.col("key") == k, 1)).alias(f"unique_{k}") for k in keys]
+        *[F.count(F.when(F.col("key_id") == KEY_IDS[k], 1)).alias(f"unique_{k}") for k in keys]
     )
 
 

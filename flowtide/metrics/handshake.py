@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.rates import epoch_s
+from flowtide.operators.aggregate import address_end, not_after
 from flowtide.plans.slots import keep, slot_streak, with_slot
 
 DELAY = 100
@@ -62,35 +63,35 @@ def connection_table(flows: DataFrame, width: str) -> DataFrame:
     )
 
 
-def _end(side: str) -> Column:
-    zero = F.lit(0).cast("bigint")
-    return F.struct(
-        F.coalesce(f"{side}_hi", zero).alias("hi"), F.coalesce(f"{side}_lo", f"{side}_addr").alias("lo")
-    )
-
-
 def pair_table(flows: DataFrame, width: str) -> DataFrame:
     """Both directions of every address pair of a slot in one row.
 
-    `f_*` describes the direction from the smaller to the larger end, `r_*` the other one.
-    A flow from an address to itself is its own reverse: such pairs have only `f_*`.
+    `f_*` describes the direction from the smaller end (`a_hi`, `a_lo`) to the larger one
+    (`b_hi`, `b_lo`), `r_*` the other. A flow from an address to itself is its own reverse:
+    such pairs have only `f_*`.
     """
-    src, dst = _end("src"), _end("dst")
+    src, dst = address_end("src"), address_end("dst")
+    names = ("hi", "lo")
     keyed = (
         with_slot(flows, width)
-        .select("slot", "is_v6", "tcp_flags", "first_ts", (src <= dst).alias("_fwd"), src.alias("_s"), dst.alias("_d"))
-        .withColumns(
-            {"a": F.when(F.col("_fwd"), F.col("_s")).otherwise(F.col("_d")),
-             "b": F.when(F.col("_fwd"), F.col("_d")).otherwise(F.col("_s"))}
+        .withColumn("_fwd", not_after(src, dst))
+        .select(
+            "slot", "is_v6", "tcp_flags", "first_ts", "_fwd",
+            *[F.when(F.col("_fwd"), s).otherwise(d).alias(f"a_{n}") for n, s, d in zip(names, src, dst)],
+            *[F.when(F.col("_fwd"), d).otherwise(s).alias(f"b_{n}") for n, s, d in zip(names, src, dst)],
         )
     )
     fwd = F.col("_fwd")
-    return keyed.groupBy("slot", "is_v6", "a", "b").agg(
+    return keyed.groupBy("slot", "is_v6", "a_hi", "a_lo", "b_hi", "b_lo").agg(
         *[e.alias(f"f_{n}") for n, e in _per_connection(fwd).items()],
         *[e.alias(f"r_{n}") for n, e in _per_connection(~fwd).items()],
     )
 
 
+def _self_pair() -> Column:
+    return (F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") == F.col("b_lo"))
+
+
 _FIELDS = ("n", "syn", "synack", "ack", "rst", "first_s")
 
 
@@ -102,30 +103,30 @@ def reverse_pairs(pairs: DataFrame) -> DataFrame:
 
     def way(src: str, dst: str, fwd: str, rev: str) -> Column:
         return F.struct(
-            F.col(src).alias("src"),
-            F.col(dst).alias("dst"),
+            *[F.col(f"{e}_{n}").alias(f"{side}_{n}") for side, e in (("src", src), ("dst", dst)) for n in ("hi", "lo")],
             *[F.col(f"{fwd}_{c}").alias(c) for c in _FIELDS],
             *[F.col(f"{rev}_{c}").alias(f"rev_{c}") for c in _FIELDS],
         )
 
-    self_pair = F.col("a") == F.col("b")
+    self_pair = _self_pair()
     ways = (
         F.when(self_pair, F.array(way("a", "b", "f", "f")))
         .when((F.col("f_n") > 0) & (F.col("r_n") > 0), F.array(way("a", "b", "f", "r"), way("b", "a", "r", "f")))
     )
     return (
         pairs.select("slot", "is_v6", F.explode(ways).alias("w"))
-        .select("slot", "is_v6", "w.*")
         .select(
             "slot",
-            F.when(~F.col("is_v6"), F.col("src.lo")).alias("src_addr"),
-            F.when(F.col("is_v6"), F.col("src.hi")).alias("src_hi"),
-            F.when(F.col("is_v6"), F.col("src.lo")).alias("src_lo"),
-            F.when(~F.col("is_v6"), F.col("dst.lo")).alias("dst_addr"),
-            F.when(F.col("is_v6"), F.col("dst.hi")).alias("dst_hi"),
-            F.when(F.col("is_v6"), F.col("dst.lo")).alias("dst_lo"),
-            *_FIELDS,
-            *[f"rev_{c}" for c in _FIELDS],
+            *[
+                e
+                for side in ("src", "dst")
+                for e in (
+                    F.when(~F.col("is_v6"), F.col(f"w.{side}_lo")).alias(f"{side}_addr"),
+                    F.when(F.col("is_v6"), F.col(f"w.{side}_hi")).alias(f"{side}_hi"),
+                    F.when(F.col("is_v6"), F.col(f"w.{side}_lo")).alias(f"{side}_lo"),
+                )
+            ],
+            *[F.col(f"w.{c}").alias(c) for c in (*_FIELDS, *[f"rev_{c}" for c in _FIELDS])],
         )
     )
 
@@ -154,7 +155,7 @@ def _contributions(fwd: str, rev: str, delay: int) -> dict[str, Column]:
 
 def handshake_counts_of(pairs: DataFrame, delay: int = DELAY) -> DataFrame:
     """Per slot: flows, SYN flows and the six handshake counts, from the pair table."""
-    self_pair = F.col("a") == F.col("b")
+    self_pair = _self_pair()
     one, other, own = (_contributions(x, y, delay) for x, y in (("f", "r"), ("r", "f"), ("f", "f")))
     return pairs.groupBy("slot").agg(
         F.sum(F.col("f_n") + F.col("r_n")).alias("flows"),

@@ -107,6 +107,35 @@ def aggregate_flows(flows: DataFrame, keys=DEFAULT_KEYS) -> DataFrame:
     return flows.groupBy(*key_columns(keys)).agg(*_merged())
 
 
+#: fields a merged flow takes from its first record
+_FIRST_RECORD = ("src_as", "dst_as", "input_if", "output_if")
+
+
+def address_end(side: str) -> list[Column]:
+    """(high, low) of an address of either family, for comparing two of the same family."""
+    v4, hi, lo = (F.col(c) for c in ADDRESS_COLUMNS[side])
+    zero = F.lit(0).cast("bigint")
+    return [F.coalesce(hi, zero), F.coalesce(lo, v4, zero)]
+
+
+def not_after(a: list[Column], b: list[Column]) -> Column:
+    """a <= b, column by column."""
+    out = a[-1] <= b[-1]
+    for x, y in zip(a[-2::-1], b[-2::-1]):
+        out = (x < y) | ((x == y) & out)
+    return out
+
+
+def _arrival_order() -> Column:
+    """Start in microseconds, then arrival, as one number.
+
+    A decimal has a fixed width, so aggregations ordered by it stay hash aggregations; a
+    struct would make Spark sort every flow first.
+    """
+    micros = F.unix_micros(F.col("first_ts").cast("timestamp")).cast("decimal(18,0)")
+    return micros * F.expr("CAST('1e19' AS DECIMAL(20,0))") + F.col("flow_id").cast("decimal(19,0)")
+
+
 def aggregate_bidir(flows: DataFrame) -> DataFrame:
     """Merge each TCP or UDP flow with its reverse; other protocols as `aggregate_flows`.
 
@@ -114,47 +143,40 @@ def aggregate_bidir(flows: DataFrame) -> DataFrame:
     other direction go to `out_packets` and `out_bytes`. Both directions meet under one
     canonical key, so this is a single aggregation and not a join.
     """
-    no_addr = F.lit(0).cast("bigint")
-
-    def end(side: str) -> Column:
-        v4, hi, lo = (F.col(c) for c in ADDRESS_COLUMNS[side])
-        return F.struct(
-            F.coalesce(hi, no_addr).alias("hi"),
-            F.coalesce(lo, v4).alias("lo"),
-            F.col(f"{side}_port").alias("port"),
-        )
-
-    src, dst = end("src"), end("dst")
-    as_is = ~F.col("prot").isin(TCP, UDP) | (src <= dst)
+    src, dst = address_end("src"), address_end("dst")
+    src, dst = [*src, F.col("src_port")], [*dst, F.col("dst_port")]
+    as_is = ~F.col("prot").isin(TCP, UDP) | not_after(src, dst)
+    names = ("hi", "lo", "port")
     keyed = flows.withColumn("_as_is", as_is).select(
-        "*",
-        F.when(F.col("_as_is"), src).otherwise(dst).alias("_a"),
-        F.when(F.col("_as_is"), dst).otherwise(src).alias("_b"),
+        "is_v6", "prot", "tcp_flags", "first_ts", "last_ts", "_as_is", *COUNTERS, *_FIRST_RECORD,
+        flow_weight().alias("_weight"),
+        _arrival_order().alias("_order"),
+        *[F.when(F.col("_as_is"), s).otherwise(d).alias(f"_a_{n}") for n, s, d in zip(names, src, dst)],
+        *[F.when(F.col("_as_is"), d).otherwise(s).alias(f"_b_{n}") for n, s, d in zip(names, src, dst)],
     )
 
     def directed(counter: str, flag: Column) -> Column:
         return F.sum(F.when(flag, F.col(counter)).otherwise(0))
 
     fwd = F.col("_as_is")
-    order = F.struct("first_ts", "flow_id")
-    lead = F.struct("_as_is", "src_as", "dst_as", "input_if", "output_if")
-    merged = keyed.groupBy("is_v6", "prot", "_a", "_b").agg(
+    ends = [f"_{e}_{n}" for e in "ab" for n in names]
+    merged = keyed.groupBy("is_v6", "prot", *ends).agg(
         *[directed(c, fwd).alias(f"_f_{c}") for c in COUNTERS],
         *[directed(c, ~fwd).alias(f"_r_{c}") for c in COUNTERS],
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
         F.bit_or("tcp_flags").alias("tcp_flags"),
-        F.sum(flow_weight()).alias("aggr_flows"),
-        F.min_by(lead, order).alias("_lead"),
+        F.sum("_weight").alias("aggr_flows"),
+        *[F.min_by(c, "_order").alias(c) for c in ("_as_is", *_FIRST_RECORD)],
     )
-    keep = F.col("_lead._as_is")
+    keep = F.col("_as_is")
 
     def oriented(a: Column, b: Column) -> Column:
         return F.when(keep, a).otherwise(b)
 
     def address(side: str) -> list[Column]:
-        e = ("_a", "_b") if side == "src" else ("_b", "_a")
-        hi, lo, port = (oriented(F.col(f"{e[0]}.{c}"), F.col(f"{e[1]}.{c}")) for c in ("hi", "lo", "port"))
+        one, two = "ab" if side == "src" else "ba"
+        hi, lo, port = (oriented(F.col(f"_{one}_{n}"), F.col(f"_{two}_{n}")) for n in names)
         v6 = F.col("is_v6")
         return [
             F.when(~v6, lo).alias(f"{side}_addr"),
@@ -181,7 +203,7 @@ def aggregate_bidir(flows: DataFrame) -> DataFrame:
         "last_ts",
         "tcp_flags",
         "aggr_flows",
-        *[F.col(f"_lead.{c}").alias(c) for c in ("src_as", "dst_as", "input_if", "output_if")],
+        *_FIRST_RECORD,
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowtide.functions import addresses as A, names as N
@@ -39,14 +40,17 @@ def network_table(spark: SparkSession, networks: list[str]) -> DataFrame:
 
     An IPv4 row has `net`, an IPv6 row has the pair.
     """
-    nets = {ipaddress.ip_network(n, strict=False) for n in networks}
-    rows = [
-        (n.prefixlen, int(n.network_address), None, None)
-        if n.version == 4
-        else (n.prefixlen, None, *A.split_v6(int(n.network_address)))
-        for n in nets
-    ]
-    return spark.createDataFrame(rows, "bits int, net bigint, net_hi bigint, net_lo bigint")
+    nets = sorted({ipaddress.ip_network(n, strict=False) for n in networks}, key=str)
+    v6 = [A.split_v6(int(n.network_address)) if n.version == 6 else (None, None) for n in nets]
+    table = pa.table(
+        {
+            "bits": pa.array([n.prefixlen for n in nets], pa.int32()),
+            "net": pa.array([int(n.network_address) if n.version == 4 else None for n in nets], pa.int64()),
+            "net_hi": pa.array([hi for hi, _ in v6], pa.int64()),
+            "net_lo": pa.array([lo for _, lo in v6], pa.int64()),
+        }
+    )
+    return spark.createDataFrame(table)
 
 
 def _masked(addr: tuple, bits: int, v6: bool) -> list[Column]:
@@ -68,10 +72,10 @@ def in_networks(
     longer list is matched against the distinct addresses, and the flows are then
     semi-joined on the address.
     """
-    v6 = F.col("net").isNull()
-    # at most 33 + 129 prefix lengths exist
-    lengths = sorted((r[0], r[1]) for r in networks.select("bits", v6).distinct().collect())
-    small = networks.limit(broadcast_rows + 1).count() <= broadcast_rows
+    # at most 33 + 129 rows: one per prefix length in use
+    sizes = networks.groupBy("bits", F.col("net").isNull().alias("v6")).count().collect()
+    lengths = sorted((r["bits"], r["v6"]) for r in sizes)
+    small = sum(r["count"] for r in sizes) <= broadcast_rows
     match = _match_small if small else _match_large
     sides = ["src", "dst"] if side in ("either", "both") else [side]
     for s in sides:

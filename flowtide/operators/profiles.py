@@ -34,16 +34,11 @@ def channel_summary(flows: DataFrame, channels: dict[str, Column]) -> DataFrame:
 
 
 def channel_port_histogram(flows: DataFrame, channels: dict[str, Column]) -> DataFrame:
-    return _per_channel(port_histogram, flows, channels)
+    return port_histogram(split(flows, channels), by=("channel",))
 
 
 def channel_bpp_histogram(flows: DataFrame, channels: dict[str, Column]) -> DataFrame:
-    return _per_channel(bpp_histogram, flows, channels)
-
-
-def _per_channel(histogram, flows: DataFrame, channels: dict[str, Column]) -> DataFrame:
-    tables = [histogram(flows.filter(p)).withColumn("channel", F.lit(n)) for n, p in channels.items()]
-    return reduce(DataFrame.unionByName, tables)
+    return bpp_histogram(split(flows, channels), by=("channel",))
 
 
 def channel_timeseries(flows: DataFrame, channels: dict[str, Column], width: str) -> DataFrame:

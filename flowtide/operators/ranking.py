@@ -41,7 +41,9 @@ def top_elements(stats: DataFrame, orders=("flows",), n: int = 10, tie: list[str
     """The n largest rows of an element statistic under each order; n = 0 keeps all.
 
     Rows whose value is 0 do not rank. `ordered_by` and `rank_value` say which order a row
-    belongs to. With n > 0 each order is one take-ordered step, not a full sort.
+    belongs to. With n > 0 each order is one take-ordered step, not a full sort. The
+    aggregation below is shuffled once and reused by all orders, as long as the columns
+    kept afterwards are the same for each (the times are part of two of them).
     """
     tie = [c for c in stats.columns if c == "prot" or c.startswith("value")] if tie is None else tie
     return reduce(DataFrame.unionByName, [_top(stats, o, n, tie, "flows") for o in orders])

@@ -163,8 +163,8 @@ def summary(flows: DataFrame) -> DataFrame:
     )
 
 
-def port_histogram(flows: DataFrame) -> DataFrame:
-    """Flow count per protocol (TCP, UDP), side and port."""
+def port_histogram(flows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Flow count per protocol (TCP, UDP), side and port, within further columns `by`."""
     sides = F.array(
         *[
             F.struct(F.lit(s).alias("side"), F.col(f"{s}_port").alias("port"))
@@ -173,16 +173,19 @@ def port_histogram(flows: DataFrame) -> DataFrame:
     )
     return (
         flows.filter(F.col("prot").isin(TCP, UDP))
-        .select("prot", F.explode(sides).alias("p"))
-        .groupBy("prot", F.col("p.side").alias("side"), F.col("p.port").alias("port"))
+        .select(*by, "prot", F.explode(sides).alias("p"))
+        .groupBy(*by, "prot", F.col("p.side").alias("side"), F.col("p.port").alias("port"))
         .agg(F.count(F.lit(1)).alias("flows"))
     )
 
 
-def bpp_histogram(flows: DataFrame, cap: int = MAX_BPP) -> DataFrame:
-    """Flow count per protocol (TCP, UDP) and bytes per packet; larger values share `cap`."""
+def bpp_histogram(flows: DataFrame, cap: int = MAX_BPP, by: tuple[str, ...] = ()) -> DataFrame:
+    """Flow count per protocol (TCP, UDP) and bytes per packet, within further columns `by`.
+
+    Values above `cap` share its row.
+    """
     return (
         flows.filter(F.col("prot").isin(TCP, UDP))
-        .groupBy("prot", F.least(R.bpp(), F.lit(cap)).alias("bpp"))
+        .groupBy(*by, "prot", F.least(R.bpp(), F.lit(cap)).alias("bpp"))
         .agg(F.count(F.lit(1)).alias("flows"))
     )

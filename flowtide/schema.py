@@ -9,7 +9,7 @@ round. `flow_id` is the arrival order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 _LONG, _INT = T.LongType(), T.IntegerType()
 
@@ -82,9 +82,9 @@ TCP, UDP, ICMP, ICMP6 = 6, 17, 1, 58
 def conform(df: DataFrame) -> DataFrame:
     """Cast to the flow schema; columns that are missing become NULL, others are dropped."""
     have = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"CAST({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}"
             for f in FLOW_SCHEMA.fields
         ]
     )

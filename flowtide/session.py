@@ -9,6 +9,26 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings the plans of this library are made for; any session can take them at run time.
+SETTINGS = {
+    # slots and times are UTC
+    "spark.sql.session.timeZone": "UTC",
+    # join strategy and partition sizes from measured sizes, skewed joins split
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # wide text projections exceed what the JVM compiles as one method; beyond this size
+    # Spark generates them in pieces that it does compile
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "flowtide") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     spark = (
@@ -17,11 +37,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # without call sites in error messages, plans are built several times faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
+    tune(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

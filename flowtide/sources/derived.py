@@ -7,9 +7,11 @@ Spark and DuckDB both accept, so that results can be compared on the two engines
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
 
-from flowtide.schema import conform
+from pyspark.sql import DataFrame, SparkSession
+
+from flowtide.schema import FLOW_SCHEMA
 
 EVENTS_TO_FLOWS = """
 SELECT event_id AS flow_id,
@@ -56,20 +58,28 @@ FROM (
 """
 
 
+# what the statement above leaves out or names differently
+_DERIVED = {
+    "last_ts": "first_ts + make_dt_interval(0, 0, 0, dur_ms / 1000.0)",
+    "mpls": "concat(array(mpls_1, mpls_2, mpls_3), array_repeat(0L, 7))",
+    "is_v6": "false",
+    "sampled": "false",
+}
+
+
+def _full_schema_sql() -> str:
+    """The derived flows with every column of the flow schema, as one statement."""
+    given = set(re.findall(r"AS (\w+)", EVENTS_TO_FLOWS)) | {"prot", "packets"}
+    columns = [
+        f"CAST({_DERIVED.get(f.name, f.name if f.name in given else 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in FLOW_SCHEMA.fields
+    ]
+    return f"SELECT {', '.join(columns)} FROM ({EVENTS_TO_FLOWS})"
+
+
 def flows_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Flows with the full schema; works on a batch or a streaming `events` table."""
-    raw = spark.sql(EVENTS_TO_FLOWS, events=events)
-    first_ts = F.col("first_ts").cast("timestamp_ntz")
-    mpls = F.array(
-        *[F.col(f"mpls_{i}").cast("int") for i in (1, 2, 3)], *[F.lit(0) for _ in range(7)]
-    )
-    return conform(
-        raw.withColumn("first_ts", first_ts)
-        .withColumn("last_ts", F.expr("first_ts + make_dt_interval(0, 0, 0, dur_ms / 1000.0)"))
-        .withColumn("mpls", mpls)
-        .withColumn("is_v6", F.lit(False))
-        .withColumn("sampled", F.lit(False))
-    )
+    return spark.sql(_full_schema_sql(), events=events)
 
 
 def load_flows(spark: SparkSession, table_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowtide.metrics.divergence import divergences_of
-from flowtide.metrics.frequency import FREQUENCY_KEYS
+from flowtide.metrics.frequency import FREQUENCY_KEYS, KEY_IDS
 from flowtide.metrics.momentum import stock_market_of
 from flowtide.plans.slots import previous_slot
 from flowtide.streaming.slots import window_start, with_timeout
@@ -66,7 +66,7 @@ def add_slots(released: DataFrame, key: str, width: str, folder: str) -> None:
     cal = previous_slot(slots, {"prev_slot": F.col("slot")}, width).filter(new)
     first = cal.agg(F.min(F.coalesce("prev_slot", "slot"))).first()[0]
     recent = stored.filter(F.col(SLOT_ID).between(first.strftime("%Y%m%d%H%M%S"), high))
-    freq = recent.select(F.lit(key).alias("key"), "slot", *cols, "n")
+    freq = recent.select(F.lit(KEY_IDS[key]).alias("key_id"), "slot", *cols, "n")
     _store(divergences_of(freq, cal, (key,)), f"{folder}/divergences")
     _store(stock_market_of(slots, width).filter(new), f"{folder}/stock_market")
 

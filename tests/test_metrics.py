@@ -296,7 +296,7 @@ def test_frequencies_equal_single_keys(spark):
     together = frequency.frequencies(df, WIDTH)
     for key, cols in frequency.FREQUENCY_KEYS.items():
         alone = frequency.frequency(df, key, WIDTH).select("slot", *cols, "n")
-        mine = together.filter(F.col("key") == key).select("slot", *cols, "n")
+        mine = together.filter(F.col("key_id") == frequency.KEY_IDS[key]).select("slot", *cols, "n")
         assert sorted(map(repr, alone.collect())) == sorted(map(repr, mine.collect()))
 
 
