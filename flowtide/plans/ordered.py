@@ -12,11 +12,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowtide.functions.rates import int_div
+
 BLOCK = 4096
 
 
 def _in_blocks(df: DataFrame, order: str, block: int) -> DataFrame:
-    return df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
+    size = F.lit(block).cast("bigint")
+    start = F.col(order) - F.pmod(F.col(order), size)
+    return df.withColumn("_blk", int_div(start, size))
 
 
 def _with_carry(local: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:

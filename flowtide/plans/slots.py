@@ -76,4 +76,4 @@ def calendar(flows: DataFrame, width: str) -> DataFrame:
     Reads only the timestamp column.
     """
     slots = keep(with_slot(flows, width).groupBy("slot").agg(F.count(F.lit(1)).alias("flows")))
-    return previous_slot(slots, {"prev_slot": F.col("slot")}, width)
+    return keep(previous_slot(slots, {"prev_slot": F.col("slot")}, width))

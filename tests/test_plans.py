@@ -25,7 +25,7 @@ def planned(df) -> str:
 def executed(df) -> str:
     """The plan after adaptive execution."""
     df.collect()
-    return planned(df).split("== Initial Plan ==")[0]
+    return planned(df).split("\n+- == Initial Plan ==")[0]
 
 
 @pytest.fixture
