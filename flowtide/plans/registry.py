@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from flowtide.metrics import divergence, entropy, flooding, frequency, handshake, momentum
 from flowtide.metrics import centroid
-from flowtide.plans.slots import calendar, with_slot
+from flowtide.plans.slots import calendar, kept_tables, release, with_slot
 
 
 @dataclass(frozen=True)
@@ -80,12 +80,14 @@ class MetricRun:
     results: dict[str, DataFrame]
     order: list[str]
     _context: Context
+    _kept: list[DataFrame]
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.results[name]
 
     def release(self) -> None:
-        """Free the shared tables; call it after the results were written."""
+        """Free the tables the run persisted; call it after the results were written."""
+        release(self._kept)
         for name in self._context.persisted:
             if name in self._context._tables:
                 self._context._tables[name].unpersist()
@@ -133,9 +135,10 @@ def metric_run(flows: DataFrame, metrics, width: str) -> MetricRun:
     ctx = Context(
         with_slot(flows, width), width, parameters, {t for t, k in uses.items() if k > 1}
     )
-    for name in order:
-        ctx._results[name] = METRICS[name].fn(ctx)
-    return MetricRun({n: ctx._results[n] for n in order}, order, ctx)
+    with kept_tables() as kept:
+        for name in order:
+            ctx._results[name] = METRICS[name].fn(ctx)
+    return MetricRun({n: ctx._results[n] for n in order}, order, ctx, kept)
 
 
 # --- the built-in metrics ---------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,13 +39,35 @@ def with_slot(flows: DataFrame, width: str) -> DataFrame:
     return flows if "slot" in flows.columns else flows.withColumn("slot", slot(width))
 
 
+_KEPT: ContextVar[list[DataFrame] | None] = ContextVar("kept slot tables", default=None)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Hold a per-slot table that a plan refers to more than once.
 
     One row per slot, so it is small whatever the flows are; a lost executor only costs
     recomputing its part. Without this every reference would read the flows again.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    held = _KEPT.get()
+    if held is not None:
+        held.append(df)
+    return df
+
+
+@contextmanager
+def kept_tables():
+    """Collects what `keep` persists inside the block, for whoever has to release it."""
+    token = _KEPT.set([])
+    try:
+        yield _KEPT.get()
+    finally:
+        _KEPT.reset(token)
+
+
+def release(tables: list[DataFrame]) -> None:
+    for df in reversed(tables):
+        df.unpersist()
 
 
 def slot_order(df: DataFrame) -> DataFrame:

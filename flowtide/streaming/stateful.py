@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flowtide.metrics.divergence import divergences_of
 from flowtide.metrics.frequency import FREQUENCY_KEYS, KEY_IDS
 from flowtide.metrics.momentum import stock_market_of
-from flowtide.plans.slots import previous_slot
+from flowtide.plans.slots import kept_tables, previous_slot, release
 from flowtide.streaming.slots import window_start, with_timeout
 
 SLOT_ID = "slot_id"
@@ -67,8 +67,12 @@ def add_slots(released: DataFrame, key: str, width: str, folder: str) -> None:
     first = cal.agg(F.min(F.coalesce("prev_slot", "slot"))).first()[0]
     recent = stored.filter(F.col(SLOT_ID).between(first.strftime("%Y%m%d%H%M%S"), high))
     freq = recent.select(F.lit(KEY_IDS[key]).alias("key_id"), "slot", *cols, "n")
-    _store(divergences_of(freq, cal, (key,)), f"{folder}/divergences")
-    _store(stock_market_of(slots, width).filter(new), f"{folder}/stock_market")
+    with kept_tables() as kept:
+        try:
+            _store(divergences_of(freq, cal, (key,)), f"{folder}/divergences")
+            _store(stock_market_of(slots, width).filter(new), f"{folder}/stock_market")
+        finally:
+            release(kept)
 
 
 def run_stateful(stream: DataFrame, key: str, width: str, timeout_s: int, folder: str) -> StreamingQuery:

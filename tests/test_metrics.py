@@ -328,5 +328,7 @@ def test_metric_run_shares_and_releases(spark):
     slots = run["flows"].count()
     for name in ("entropy", "kl", "ddos_test", "syn_flood", "flooding_level", "stock_market", "centroid", "bytes"):
         assert run[name].count() == slots, name
+    assert run._kept and all(t.is_cached for t in run._kept)
     run.release()
+    assert not any(t.is_cached for t in run._kept)
     assert not run._context.table("frequencies").is_cached

@@ -98,6 +98,7 @@ def test_stateful_metrics_equal_batch(spark, tmp_path):
 
 
 def test_replayed_batch_writes_the_same(spark, tmp_path):
+    spark.catalog.clearCache()
     counts = stateful.key_counts(make_flows(spark, arrivals(4, 60, 4)), "src", WIDTH)
     for _ in range(2):
         stateful.add_slots(counts, "src", WIDTH, str(tmp_path))
@@ -105,6 +106,8 @@ def test_replayed_batch_writes_the_same(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/counters").count() == slots
     assert spark.read.parquet(f"{tmp_path}/divergences").count() == slots
     assert spark.read.parquet(f"{tmp_path}/frequencies").count() == counts.count()
+    # nothing stays persisted after a batch
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
 
 
 def test_capture_and_channels(spark, tmp_path):
