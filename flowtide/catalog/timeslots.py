@@ -305,10 +305,11 @@ _DISTANCE = {6: (0.1, 3.5, 0.7), 17: (0.2, 4.0, 0.5), 1: (0.6, 3.1, 0.12)}
 def _centroid_sql(prot: int, limit: float) -> str:
     a, b, c = _DISTANCE[prot]
     return f"""WITH {_PROFILE},
-        m AS (SELECT slot, avg(ln(packets)) AS x, avg(ln(bytes)) AS y, avg(ln(flows)) AS z FROM prof WHERE prot = {prot} GROUP BY slot)
+        m AS (SELECT slot, avg(ln(packets)) FILTER (prot = {prot}) AS x, avg(ln(bytes)) FILTER (prot = {prot}) AS y,
+                     avg(ln(flows)) FILTER (prot = {prot}) AS z FROM prof GROUP BY slot)
         SELECT {SLOT}, {r6('x')} AS ln_packets, {r6('y')} AS ln_bytes, {r6('z')} AS ln_flows,
                {r6(f'abs({a} - x) + abs({b} - y) + abs({c} - z)')} AS distance,
-               CAST(abs({a} - x) + abs({b} - y) + abs({c} - z) > {limit} AS INT) AS alarm FROM m"""
+               CAST(coalesce(abs({a} - x) + abs({b} - y) + abs({c} - z) > {limit}, false) AS INT) AS alarm FROM m"""
 
 
 for _name, _prot, _limit in (("tcp", 6, 2.0), ("udp", 17, 9.0), ("icmp", 1, 9.0)):
