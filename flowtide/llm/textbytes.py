@@ -59,7 +59,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def segments_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every data[start:end]; equal bytes give equal hashes."""
+    """A 64-bit hash of every data[start:end], in ascending order; equal bytes give equal hashes.
+
+    A long text is taken in pieces, so that the arrays of eight bytes per byte stay small.
+    """
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        stop = max(int(np.searchsorted(end, start[at] + BLOCK_BYTES, side="right")), at + 1)
+        origin = start[at]
+        out[at:stop] = _hash_piece(data[origin : end[stop - 1]], start[at:stop] - origin, end[at:stop] - origin)
+        at = stop
+    return out
+
+
+def _hash_piece(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -69,10 +83,14 @@ def segments_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 @dataclass
 class Words:
-    """Words of consecutive texts. `first` has the first word of each text, and one end."""
+    """Words of consecutive texts from row `row` on.
+
+    `text_start` has the first byte of each text and `first` its first word, both with one end.
+    """
 
     row: int
     data: np.ndarray
+    text_start: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
@@ -126,7 +144,7 @@ def words_of(row: int, data: np.ndarray, offsets: np.ndarray, members: np.ndarra
     if len(cuts):
         start = np.sort(np.concatenate([start, cuts]))
         end = np.sort(np.concatenate([end, cuts]))
-    return Words(row, data, start, end, np.searchsorted(start, offsets))
+    return Words(row, data, offsets, start, end, np.searchsorted(start, offsets))
 
 
 def words(texts: pa.Array, members: np.ndarray, lower: bool = False) -> Iterator[Words]:
