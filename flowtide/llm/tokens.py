@@ -18,7 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +34,33 @@ SEQUENCE = 2048
 BATCH_ROWS = 64
 #: units kept with their ids by each Python worker
 CACHE_UNITS = 400_000
+#: characters encoded together
+PORTION = 1 << 20
 
 # Pieces between which the byte-level pattern always splits, for texts whose only white space
-# is blanks and line feeds: a word with the blank or line feed before it, a run of blanks and
-# line feeds up to the last before a word, or a run at the end.
-_UNITS = re.compile(r"[ \n]?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+").findall
+# is blanks and line feeds: letters before common punctuation, white space or the end, with the
+# blank or line feed before them; such punctuation after them; any other word, with the blank or
+# line feed before it; white space up to the last before a word, or at the end.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r".,!?#$%&*|"
+_UNITS = re.compile(rf"[ \n]?[{_LETTERS}]+(?![^ \n{_MARKS}])|[{_MARKS}]+(?![^ \n])|[ \n]?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+").findall
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
+class _Numbers(dict):
+    """Numbers units in the order in which they are first asked for."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        return number
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library; units met before come from a bounded cache."""
+    """Ids of texts by the tokenizers library; each unit is encoded once and its ids are kept.
+
+    The ids of all kept units lie in `flat`; unit i has `length[i]` from `start[i]` on.
+    """
 
     def __init__(self, file: str, by_unit: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,7 +69,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.by_unit = by_unit
-        self.cache: dict[str, list[int]] = {}
+        # bytes of each id: a character of a byte-level vocabulary stands for one byte
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.width[k] = len(token)
+        self._forget()
 
     @classmethod
     def of(cls, file: str, by_unit: bool) -> "Encoder":
@@ -64,24 +83,71 @@ class Encoder:
             _encoders[key] = cls(file, by_unit)
         return _encoders[key]
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def kind(self, end_id: int) -> type:
         """The narrowest type for all ids."""
         return np.uint16 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
 
-    def encode(self, text: str) -> list[int]:
-        if not self.by_unit or _OTHER_SPACE(text):
-            return self.whole([text])[0]
-        units, cache = _UNITS(text), self.cache
-        missing = list(set(units).difference(cache))
-        if missing:
-            if len(cache) + len(missing) > CACHE_UNITS:
-                cache.clear()
-                missing = list(set(units))
-            cache.update(zip(missing, self.whole(missing)))
-        return list(chain.from_iterable(map(cache.__getitem__, units)))
+    def _forget(self) -> None:
+        self.numbers, self.flat = _Numbers(), np.zeros(0, np.uint32)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, units: list[str]) -> None:
+        """Encode new units. Those that begin with a blank before a word are encoded as one text,
+        which the pattern splits before each of these blanks; the others as words of their own."""
+        word = np.fromiter((u[0] == " " and u[1:2] not in ("", " ", "\n") for u in units), bool, len(units))
+        joined = [u for u, w in zip(units, word.tolist()) if w]
+        apart = [u for u, w in zip(units, word.tolist()) if not w]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
+        # where the bytes of each unit end, and how many ids end up to there
+        ends = np.cumsum(np.fromiter((len(u.encode()) for u in joined), np.int64, len(joined)))
+        upto = np.searchsorted(np.cumsum(self.width[ids]), ends, side="right")
+        lengths = [np.diff(upto, prepend=0)]
+        if apart:
+            encoding = self.tokenizer.encode(apart, is_pretokenized=True, add_special_tokens=False)
+            ids = np.concatenate([ids, np.array(encoding.ids, np.uint32)])
+            lengths.append(np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(apart)))
+        # in `flat` the joined ones come first; `at` follows the numbers
+        order = np.argsort(np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)]))
+        length = np.concatenate(lengths)
+        start = np.cumsum(length) - length + len(self.flat)
+        self.flat = np.concatenate([self.flat, ids])
+        self.start = np.concatenate([self.start, start[order]])
+        self.length = np.concatenate([self.length, length[order]])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = [k for k, text in enumerate(texts) if self.by_unit and not _OTHER_SPACE(text)]
+        others = sorted(set(range(len(texts))).difference(plain))
+        if others:
+            for k, e in zip(others, self.tokenizer.encode_batch_fast([texts[k] for k in others], add_special_tokens=False)):
+                out[k] = np.array(e.ids, np.uint32)
+        if len(self.numbers) > CACHE_UNITS:
+            self._forget()
+        units = [_UNITS(texts[k]) for k in plain]
+        counts = np.array([len(u) for u in units], np.int64)
+        known = len(self.numbers)
+        unit = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
+        if len(self.numbers) > known:
+            self._learn(list(islice(self.numbers, known, None)))
+        length = self.length[unit]
+        ends = np.cumsum(length)
+        flat = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[unit] - (ends - length), length)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        for k, a, b in zip(plain, bounds.tolist(), bounds[1:].tolist()):
+            out[k] = flat[a:b]
+        return out
+
+
+def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about PORTION characters together."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= PORTION:
+            yield start, k + 1
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 class _ShardWriter:
@@ -167,11 +233,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         encoder, writer = Encoder.of(tokenizer, by_unit), None
         kind = encoder.kind(end_id)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is None:
-                    writer = _ShardWriter(folder, TaskContext.get().partitionId(), sequence, kind)
-                ids = encoder.encode(text.as_py() or "")
-                writer.add(doc_id, np.array([*ids, end_id], kind))
+            if writer is None and batch.num_rows:
+                writer = _ShardWriter(folder, TaskContext.get().partitionId(), sequence, kind)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
+            for a, b in _portions(texts):
+                for doc_id, ids in zip(doc_ids[a:b], encoder.encode(texts[a:b])):
+                    writer.add(doc_id, np.append(ids, end_id).astype(kind))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": writer.shard, "n_docs": writer.n_docs, "n_tokens": writer.n_tokens}], schema=pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
