@@ -15,6 +15,8 @@ from flowtide.llm.common import fresh_name, stored
 
 #: slices of a source's order; only the one in which its words are reached is ranked row by row
 SLICES = 65_536
+#: tasks over which the documents of one source are dealt
+SALTS = 32
 #: most copies of a document, and of a source
 MOST = 3
 
@@ -130,8 +132,7 @@ def _borders(narrow: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
     # the slice in which the words are reached, row by row; rows with the same key and id count together
     order = Window.partitionBy("t").orderBy("key", "id")
     inside = (
-        sliced.join(cut, "t")
-        .filter(F.col("slice") == F.col("cut.slice"))
+        sliced.join(cut.withColumn("slice", F.col("cut.slice")), ["t", "slice"])
         .withColumn("upto", F.col("cut.before") + F.sum("size").over(order))
         .filter(F.col("upto") <= F.col("missing"))
         .groupBy("t")
@@ -146,8 +147,11 @@ def _borders(narrow: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
         (F.col("missing") - F.coalesce("reached", "cut.before", "all_words")).alias("gap"),
     )
     here = F.struct("key", "id")
+    # documents of a source meet its row in several tasks
+    salted = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     fillers = (
-        sliced.join(ends, "t")
+        sliced.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["t", "salt"])
         .filter(F.col("key").isNotNull() & (here > F.col("last")) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
         .groupBy("t")
         .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), here.alias("row"))).alias("best"))

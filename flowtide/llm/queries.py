@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtide.llm import decontam, mixing, simhash, tokens
+from flowtide.llm import decontam, mixing, sampling, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +101,26 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    """Fitted to the labels outside the held-out third."""
+    return toxicity.train(docs, table(spark, sf_dir, "labels"), only=sampling.fold(F.col("doc_id"), 3) != 1)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(spark, docs, sf_dir)
+    scored = docs.select("doc_id", toxicity.toxicity(model, docs, F.col("text")).alias("toxicity"))
+    score = F.col("toxicity.score")
+    return scored.select(
+        "doc_id",
+        (sampling.fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        score.alias("score"),
+        F.when(score >= 0.7, 1).otherwise(0).alias("predicted"),
+        F.size("toxicity.sentences").alias("n_offending"),
+    )
+
+
 @query("op9_token_files")
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
