@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtide.llm import decontam, mixing, sampling, simhash, tokens, toxicity
+from flowtide.llm import decontam, mixing, rules, sampling, simhash, tokens, toxicity
+from flowtide.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,6 +122,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # counted once: the rules are learned from what is written here, and applied to it
+    counted = stored(docs.select("doc_id", rules.statistics(F.col("text")).alias("s")), "statistics")
+    learned = rules.train(counted, table(spark, sf_dir, "labels"), "s")
+    failed = (F.col("s.n_words") < 50) | (100 * F.col("s.n_repeat_words") > 50 * F.col("s.n_words"))
+    rule = learned.number("s")
+    return counted.select(
+        "doc_id",
+        *[F.col(f"s.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        failed.alias("base_failed"),
+        (~failed & (rule == 0)).alias("kept"),
+        rule.alias("rule"),
+    )
+
+
 @query("op9_token_files")
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
