@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtide.llm import decontam, mixing, rules, sampling, simhash, tokens, toxicity
+from flowtide.llm import decontam, langid, mixing, rules, sampling, simhash, tokens, toxicity
 from flowtide.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = sampling.fold(F.col("doc_id"), 4) == 2
+    model = langid.train(docs, only=~held_out)
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.language(model, docs, F.col("text")).alias("l"))
+    return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"), F.size("l.spans").alias("n_spans"))
+
+
 @query("op7_quality_rules")
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
