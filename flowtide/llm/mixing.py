@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowtide.llm.common import fresh_name, stored
 
 #: slices of a source's order; only the one in which its words are reached is ranked row by row
-SLICES = 65_536
+SLICES = 4_096
 #: tasks over which the documents of one source are dealt
 SALTS = 32
 #: most copies of a document, and of a source
