@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtide.llm import decontam, langid, mixing, rules, sampling, simhash, tokens, toxicity
+from flowtide.llm import decontam, langid, mixing, rules, sampling, simhash, suffixes, tokens, toxicity
 from flowtide.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_repeated_strings")
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "repeats.n_bytes",
+        "repeats.n_removed",
+        F.size("repeats.spans").cast("long").alias("n_spans"),
+        F.sha2(F.col("repeats.kept"), 256).alias("kept_sha256"),
+    )
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
     """Fitted to the labels outside the held-out third."""
     return toxicity.train(docs, table(spark, sf_dir, "labels"), only=sampling.fold(F.col("doc_id"), 3) != 1)
