@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowtide.llm.sampling import bounded_sample, fitted, sampled_texts
 from flowtide.llm.textbytes import Words, class_table, words
 
-#: documents of each language that a model is fitted to, at most
+#: documents of each language that a model is fitted to, about
 SAMPLE = 1500
 #: what a change of language between two words costs, in log units
 SWITCH = 6.0
@@ -209,8 +209,8 @@ def fit(table: pa.Table | None) -> LanguageModel:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", only: Column | None = None, sample: int = SAMPLE) -> LanguageModel:
-    """Fit a model to documents with a language and a text, at most `sample` of each language,
-    those with the smallest hashes of their ids. `only` limits them further."""
+    """Fit a model to documents with a language and a text, about `sample` of each language,
+    by hashes of their ids. `only` limits them further."""
     rows = docs.filter(only) if only is not None else docs
     keys = rows.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(lang_col).alias("lang"))
     texts = sampled_texts(bounded_sample(keys, "lang", "key", sample), docs, "key", id_col, text_col)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtide.llm import decontam, langid, mixing, rules, sampling, simhash, suffixes, tokens, toxicity
+from flowtide.llm import decontam, langid, mixing, rules, sampling, simhash, suffixes, tokens, toxicity, urls
 from flowtide.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,65 @@ def op1_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_text(F.col("fingerprint")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+# No table has list entries or fetch days, so both are worked out from the pages: a capture's day
+# from its id, and for every host, its parent domain and each host's leading path segment dated
+# additions and removals from the letters of the pattern. Statements both engines accept.
+CAPTURES = """
+SELECT page_id, url, CAST('2024-01-01' AS DATE) + CAST((page_id * 7919) % 366 AS INT) AS day FROM {pages}
+"""
+ENTRIES = """
+SELECT list, pattern, CAST('2024-01-01' AS DATE) + CAST(s AS INT) AS noted, added FROM (
+  SELECT 'hosts' AS list, pattern, n % 300 AS s, true AS added FROM {patterns} WHERE kind = 'host' AND n % 3 <> 0
+  UNION ALL
+  SELECT 'hosts' AS list, pattern, n % 300 + 20 + n % 60 AS s, false AS added FROM {patterns} WHERE kind = 'host' AND n % 3 = 1
+  UNION ALL
+  SELECT 'hosts' AS list, pattern, n % 300 + 90 + n % 80 AS s, true AS added FROM {patterns} WHERE kind = 'host' AND n % 6 = 1
+  UNION ALL
+  SELECT 'domains' AS list, pattern, n % 250 AS s, true AS added FROM {patterns} WHERE kind = 'domain' AND n % 4 = 0
+  UNION ALL
+  SELECT 'domains' AS list, pattern, n % 250 + 40 AS s, false AS added FROM {patterns} WHERE kind = 'domain' AND n % 8 = 0
+  UNION ALL
+  SELECT 'paths' AS list, pattern, n % 200 AS s, true AS added FROM {patterns} WHERE kind = 'path' AND n % 5 <> 4) e
+"""
+PATTERNS = """
+SELECT kind, pattern, ascii(substr(pattern, 1, 1)) * 31 + ascii(substr(pattern, 4, 1)) * 17 + ascii(substr(pattern, 6, 1)) * 13 + length(pattern) * 7 AS n
+FROM (
+  SELECT DISTINCT 'host' AS kind, host AS pattern FROM {hosts}
+  UNION ALL
+  SELECT DISTINCT 'domain' AS kind, substr(host, instr(host, '.') + 1) AS pattern FROM {hosts}
+  UNION ALL
+  SELECT DISTINCT 'path' AS kind, host || '/' || segment AS pattern FROM {hosts} WHERE segment <> '') p
+"""
+HOSTS = "SELECT split_part(url, '/', 3) AS host, split_part(split_part(split_part(url, '/', 4), '?', 1), '#', 1) AS segment FROM {pages} WHERE url IS NOT NULL"
+
+URL_SQL = f"""
+WITH hosts AS ({HOSTS.format(pages='pages')}),
+patterns AS ({PATTERNS.format(hosts='hosts')}),
+captures AS ({CAPTURES.format(pages='pages')}),
+entries AS (SELECT list, pattern, noted, min(added) AS added FROM ({ENTRIES.format(patterns='patterns')}) x GROUP BY 1, 2, 3),
+states AS (
+  SELECT c.page_id, e.list, e.pattern, arg_max(e.added, e.noted) AS added
+  FROM captures c
+  JOIN entries e ON e.noted <= c.day AND (
+    (e.list <> 'paths' AND (split_part(c.url, '/', 3) = e.pattern OR split_part(c.url, '/', 3) LIKE '%.' || e.pattern))
+    OR (e.list = 'paths' AND split_part(c.url, '/', 3) || '/' || split_part(split_part(split_part(c.url, '/', 4), '?', 1), '#', 1) = e.pattern))
+  GROUP BY ALL),
+reasons AS (SELECT page_id, list_sort(list(list || ':' || pattern)) AS r FROM states WHERE added GROUP BY 1)
+SELECT c.page_id, c.url, split_part(c.url, '/', 3) AS host, r.r IS NOT NULL AS blocked, coalesce(len(r.r), 0)::INT AS n_active, coalesce(array_to_string(r.r, ','), '') AS reasons
+FROM captures c LEFT JOIN reasons r USING (page_id)
+"""
+
+
+@query("op10_url_filter", URL_SQL)
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = spark.sql(CAPTURES, pages=pages).withColumnRenamed("page_id", "key")
+    hosts = spark.sql(HOSTS, pages=pages).distinct()
+    entries = spark.sql(ENTRIES, patterns=spark.sql(PATTERNS, hosts=hosts))
+    found = urls.filter_captures(captures, entries)
+    return found.select(F.col("key").alias("page_id"), "url", "host", "blocked", F.size("reasons").alias("n_active"), F.array_join("reasons", ",").alias("reasons"))
+
+
 # Words, targets by filling up to three times a source, then the order of random odds over
 # inclusion odds, its longest run that fits, and the document that fits the rest best.
 MIX_SQL = """

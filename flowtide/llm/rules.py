@@ -18,7 +18,7 @@ from flowtide.llm.common import fresh_name
 from flowtide.llm.sampling import bounded_sample, fitted
 from flowtide.llm.textbytes import NOT_WHITE, Words, class_table, mix, words
 
-#: labelled rows of each class that rules are learned from, at most
+#: labelled rows of each class that rules are learned from, about
 SAMPLE = 20_000
 #: rules of a list, and thresholds of a rule, at most
 MOST_RULES, MOST_TESTS = 16, 4
@@ -254,8 +254,7 @@ def learn(table: pa.Table | None) -> DecisionList:
 def train(counted: DataFrame, labels: DataFrame, statistics: str, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DecisionList:
     """Learn from the labelled rows of `counted`, which has a struct column `statistics`.
 
-    At most `sample` rows of each class (label 1 is good, 0 bad), those with the smallest hashes
-    of their ids; other labels, and labels without a row, are left out. Without bad rows the
+    About `sample` rows of each class (label 1 is good, 0 bad), by hashes of their ids; other labels, and labels without a row, are left out. Without bad rows the
     list is empty and drops nothing.
     """
     known = labels.select(F.col(id_col).alias("_key"), (F.col(label_col) == 0).alias("bad")).filter(F.col("_key").isNotNull() & F.col(label_col).isin(0, 1))

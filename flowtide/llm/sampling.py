@@ -7,18 +7,20 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.llm.common import stored
 
 
 def bounded_sample(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
-    """At most `n` rows of each value of `by`: those whose `key` has the smallest hashes.
+    """About `n` rows of each value of `by`, or all where there are fewer.
 
-    Each task first keeps its own n smallest, so a frequent value is not gathered.
+    A row is taken if the hash of its `key`, as a share of all hashes, is below n / (rows of its
+    value): whether it is depends on nothing but its key and that count, and no rows are gathered.
     """
-    order = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
-    return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    return rows.join(counts, F.col(by).eqNullSafe(F.col("_by"))).filter(share * F.col("_n") < n).drop("_by", "_n")
 
 
 def sampled_texts(sample: DataFrame, docs: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowtide.llm.sampling import bounded_sample, fitted, sampled_texts
 from flowtide.llm.textbytes import ALPHANUMERIC, Words, class_table, segments_hash, words
 
-#: labelled documents of each class that a model is fitted to, at most
+#: labelled documents of each class that a model is fitted to, about
 SAMPLE = 3000
 #: words of a sentence, at most; longer runs without an end are cut
 SENTENCE_WORDS = 32
@@ -213,7 +213,7 @@ def _proven(features: np.ndarray, numbers: np.ndarray, first: np.ndarray, text:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", only: Column | None = None, sample: int = SAMPLE) -> ToxicityModel:
-    """Fit a model to the labelled documents, at most `sample` of each class, those with the smallest hashes of their ids.
+    """Fit a model to the labelled documents, about `sample` of each class, by hashes of their ids.
 
     `only` limits `labels` to some rows. Labels that are neither 0 nor 1, and labels without a
     document, are left out; a null text has no words.
