@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtide.llm import decontam, langid, mixing, rules, sampling, simhash, suffixes, tokens, toxicity, urls
+from flowtide.llm import decontam, langid, mixing, pii, rules, sampling, simhash, suffixes, tokens, toxicity, urls
 from flowtide.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +219,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: for the registered query only; real use passes a secret of its own
+EXAMPLE_KEY = b"registered query, not a secret"
+
+
+@query("op8_pseudonyms")
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.pseudonyms(F.col("text"), EXAMPLE_KEY).alias("p"))
+    counts = [F.col(f"p.n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", sum(counts[1:], counts[0]).alias("n_replaced"), *counts, "p.text")
+
+
 @query("op9_token_files")
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
