@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -51,3 +51,19 @@ def fresh_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """`docs` with a number that is different for each row and in order of ids, and its column's name.
+
+    Whole-number ids that are all different are these numbers themselves. Else rows are put in
+    order of id, null first, then text, and numbered, in a table in the shared folder.
+    """
+    name = fresh_name(docs, "u")
+    whole = docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    ids = docs.groupBy(F.col(id_col).alias("i")).count()
+    if whole and not ids.filter((F.col("count") > 1) | F.col("i").isNull()).limit(1).count():
+        return docs.withColumn(name, F.col(id_col).cast("long")), name
+    order = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()]
+    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(rows.withColumn(name, F.monotonically_increasing_id()), "ordered"), name

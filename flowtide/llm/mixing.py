@@ -157,3 +157,12 @@ def _borders(narrow: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
         .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), here.alias("row"))).alias("best"))
     )
     return ends.join(fillers, "t", "left").select("t.source", "t.source_size", "t.target", "last", F.col("best.row").alias("filler"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of `docs` as many times as it is taken; columns unchanged."""
+    found = mix_sources(docs, **options)
+    name = found.columns[-1]
+    times = F.sequence(F.lit(1), F.col(f"`{name}`.copies"))
+    copy = fresh_name(found, "_copy")
+    return found.filter(F.col(f"`{name}`.copies") > 0).withColumn(copy, F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowtide.llm.common import stored
+from flowtide.llm.common import numbered, stored
 from flowtide.llm.components import components
 from flowtide.llm.textbytes import NOT_WHITE, Words, words
 
@@ -378,10 +378,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """`docs` with one row of each group of near-duplicates: the row with the smallest id.
+    """`docs` with one row of each group of near-duplicates: the one with the smallest id.
 
-    Of rows that share the smallest id one stays.
+    Rows that share an id, or have none, are told apart by their texts; of equal rows one stays.
     """
-    found = stored(near_duplicates(docs, id_col, text_col, shingle, radius), "near")
-    keep = found.groupBy("component").agg(F.min(F.struct(id_col, "fingerprint")).alias("k")).select(F.col(f"k.{id_col}").alias("_keep"))
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+    rows, u = numbered(docs, id_col, text_col)
+    found = near_duplicates(rows, u, text_col, shingle, radius)
+    keep = stored(found.filter(F.col(u) == F.col("component")).select(F.col(u).alias("_keep")), "keep")
+    return rows.join(keep, F.col(u) == F.col("_keep"), "left_semi").drop(u)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowtide.llm.anchors import GRAM, anchors
-from flowtide.llm.common import drop_stored, fresh_name, stored
+from flowtide.llm.common import drop_stored, fresh_name, numbered, stored
 from flowtide.llm.textbytes import segments_hash, text_bytes
 
 #: bytes of a string that counts as repeated
@@ -184,23 +184,6 @@ def _runs_that_may_repeat(surroundings: DataFrame, window: int) -> DataFrame:
     return by_left.mapInArrow(runs, "a long, b long, u long, p long")
 
 
-def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
-    """(u, text) with u unique and in order of ids; and `docs` with a column u.
-
-    Whole-number ids that are all different are u themselves. Else rows are put in order of id,
-    null first, then text, and numbered, in a table in the shared folder.
-    """
-    ids = docs.groupBy(F.col(id_col).alias("i")).count()
-    clash = ids.filter((F.col("count") > 1) | F.col("i").isNull()).limit(1).count() or docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint")
-    u = fresh_name(docs, "u")
-    if clash:
-        order = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()]
-        rows = stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(u, F.monotonically_increasing_id()), "ordered")
-    else:
-        rows = docs.withColumn(u, F.col(id_col).cast("long"))
-    return rows.select(F.col(u).alias("u"), F.col(text_col).alias("text")), rows, u
-
-
 def repeated_ranges(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """`u`, `first`, `last`: starts (inclusive, in bytes) of runs of `window` bytes that also start earlier.
 
@@ -276,7 +259,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows one is the earlier. The struct gets underscores before its name if `docs` has that
     column. Texts shorter than the window are kept whole; an empty table gives no rows.
     """
-    keyed, rows, u = _ordered(docs, id_col, text_col)
+    rows, u = numbered(docs, id_col, text_col)
+    keyed = rows.select(F.col(u).alias("u"), F.col(text_col).alias("text"))
     ranges = repeated_ranges(keyed, window)
     lists = ranges.groupBy(F.col("u").alias("_u")).agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
     name = fresh_name(docs, "repeats")
