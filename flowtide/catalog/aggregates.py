@@ -211,13 +211,22 @@ def _(flows):
 
 @query(
     "bpp_histogram",
-    """SELECT prot, least(CASE WHEN packets = 0 THEN 0 ELSE bytes // packets END, 9000) AS bpp, count(*) AS flows
+    """SELECT prot, CASE WHEN packets = 0 THEN 0 ELSE bytes // packets END AS bpp, count(*) AS flows
        FROM flows WHERE prot IN (6, 17) GROUP BY ALL""",
 )
 def _(flows):
     return ST.bpp_histogram(flows)
 
 
+@query(
+    "bpp_histogram_capped",
+    """SELECT prot, least(CASE WHEN packets = 0 THEN 0 ELSE bytes // packets END, 9000) AS bpp, count(*) AS flows
+       FROM flows WHERE prot IN (6, 17) GROUP BY ALL""",
+)
+def _(flows):
+    return ST.bpp_histogram(flows, ST.MAX_BPP)
+
+
 # --- ranking ------------------------------------------------------------------------
 
 

@@ -142,4 +142,4 @@ def _(flows):
         .distinct()
         .selectExpr("bits", "net", "CAST(NULL AS BIGINT) AS net_hi", "CAST(NULL AS BIGINT) AS net_lo")
     )
-    return joins.in_networks(flows, nets, "src", broadcast_rows=0).select("flow_id", "src_addr")
+    return joins.in_networks(flows, nets, "src").select("flow_id", "src_addr")

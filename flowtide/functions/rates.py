@@ -30,14 +30,28 @@ def duration_ms(first="first_ts", last="last_ts") -> Column:
     return epoch_ms(last) - epoch_ms(first)
 
 
+MOST = 2**63 - 1
+
+
+def per_time(count: Column, factor: int, ms: Column) -> Column:
+    """`count * factor div ms` without its product: whole parts and remainders apart.
+
+    A rate beyond 64 bits is given as the largest of them; 0 where no time passed.
+    """
+    whole = F.try_multiply(int_div(count, ms), F.lit(factor).cast("bigint"))
+    rest = int_div((count % ms) * F.lit(factor).cast("bigint"), ms)
+    rate = F.coalesce(F.try_add(whole, rest), F.lit(MOST))
+    return F.when(ms == 0, F.lit(0).cast("bigint")).when(count.isNotNull() & ms.isNotNull(), rate)
+
+
 def pps(packets="packets", ms: Column | None = None) -> Column:
     ms = duration_ms() if ms is None else ms
-    return div_or_zero(_col(packets) * F.lit(1000), ms)
+    return per_time(_col(packets).cast("bigint"), 1000, ms)
 
 
 def bps(bytes_="bytes", ms: Column | None = None) -> Column:
     ms = duration_ms() if ms is None else ms
-    return div_or_zero(_col(bytes_) * F.lit(8000), ms)
+    return per_time(_col(bytes_).cast("bigint"), 8000, ms)
 
 
 def bpp(bytes_="bytes", packets="packets") -> Column:

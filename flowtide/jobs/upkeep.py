@@ -56,11 +56,12 @@ def retention_plan(
     """The partitions to drop, with the reason ("size", "age"); nothing is deleted.
 
     Size: when the total reaches `max_size`, drop the oldest until it is at or below the
-    low-water share of it. Age: when the oldest partition reaches `max_life_s`, drop what
+    low-water share of it (95 percent if given as 0). Age: when the oldest partition reaches `max_life_s`, drop what
     is older than the low-water share of that life. 0 switches a limit off.
 
     `partitions` is one row per partition, with its time `at` and its `size`.
     """
+    low_water = low_water or 95
     span = partitions.agg(
         F.struct(F.min(at).cast("timestamp_ntz").alias("first"), F.sum(size).alias("total")).alias("s")
     ).scalar()

@@ -25,8 +25,8 @@ def common_key_sums(freq: DataFrame, cal: DataFrame, alpha: float = RENYI_ALPHA)
     """Per (key_id, slot): the sums over keys that also occur in the previous slot.
 
     The count of the same key in the last slot it occurred in comes from a window over the
-    key, which holds at most one row per slot. Whether that slot is the previous one is
-    decided after summing per (slot, that slot), on a small table.
+    key, which holds at most one row per slot. Rows whose last slot is not the one before are
+    left out by the calendar, one row per slot, before anything is summed.
     """
     values = [c for c in freq.columns if c not in ("key_id", "slot", "n")]
     w = Window.partitionBy("key_id", *values).orderBy("slot")
@@ -37,15 +37,14 @@ def common_key_sums(freq: DataFrame, cal: DataFrame, alpha: float = RENYI_ALPHA)
         F.col("n").cast("double").alias("c"),
         F.lag("n").over(w).cast("double").alias("p"),
     ).filter(F.col("seen").isNotNull())
-    sums = pairs.groupBy("key_id", "slot", "seen").agg(
+    before = cal.select("slot", F.col("prev_slot").alias("seen"))
+    return pairs.join(before, ["slot", "seen"]).groupBy("key_id", "slot").agg(
         F.count(F.lit(1)).alias("common_keys"),
         F.sum("c").alias("c_sum"),
         F.sum("p").alias("p_sum"),
         F.sum(F.col("c") * F.ln(F.col("c") / F.col("p"))).alias("c_log"),
         F.sum(F.pow("c", F.lit(float(alpha))) / F.pow("p", F.lit(alpha - 1.0))).alias("c_pow"),
     )
-    before = cal.select("slot", F.col("prev_slot").alias("seen"))
-    return sums.join(before, ["slot", "seen"]).drop("seen")
 
 
 def divergences_of(

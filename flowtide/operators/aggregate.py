@@ -156,7 +156,7 @@ def aggregate_bidir(flows: DataFrame) -> DataFrame:
     )
 
     def directed(counter: str, flag: Column) -> Column:
-        return F.sum(F.when(flag, F.col(counter)).otherwise(0))
+        return F.sum(F.when(flag, F.coalesce(F.col(counter), F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint")))
 
     fwd = F.col("_as_is")
     ends = [f"_{e}_{n}" for e in "ab" for n in names]

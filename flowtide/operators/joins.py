@@ -11,9 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowtide.functions import addresses as A, names as N
 from flowtide.schema import ADDRESS_COLUMNS
 
-#: a list of networks is broadcast only up to this many rows
-BROADCAST_ROWS = 100_000
-
 
 def name_services(flows: DataFrame, port: str = "dst_port", out: str = "service") -> DataFrame:
     """Attach the service of (port, protocol); an exact transport wins over `*`.
@@ -61,49 +58,25 @@ def _masked(addr: tuple, bits: int, v6: bool) -> list[Column]:
     return [A.network_v4(v4, F.lit(bits))]
 
 
-def in_networks(
-    flows: DataFrame, networks: DataFrame, side: str = "src", broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def in_networks(flows: DataFrame, networks: DataFrame, side: str = "src") -> DataFrame:
     """Flows whose `side` ("src", "dst", "either", "both") address lies in a listed network.
 
-    `networks` has the columns of `network_table`. An address is masked to every prefix
-    length in use and matched by equality, so no range join is needed; each flow comes out
-    once. A list of at most `broadcast_rows` rows is broadcast and flows do not move. A
-    longer list is matched against the distinct addresses, and the flows are then
-    semi-joined on the address.
+    `networks` has the columns of `network_table`. The distinct addresses are masked to every
+    prefix length in use and matched by equality, so no range join is needed; flows then meet
+    the addresses found, and each flow comes out once. No side is hinted: adaptive execution
+    broadcasts what it measures to be small and splits frequent addresses.
     """
     # at most 33 + 129 rows: one per prefix length in use
-    sizes = networks.groupBy("bits", F.col("net").isNull().alias("v6")).count().collect()
-    lengths = sorted((r["bits"], r["v6"]) for r in sizes)
-    small = sum(r["count"] for r in sizes) <= broadcast_rows
-    match = _match_small if small else _match_large
+    lengths = sorted((r["bits"], r["v6"]) for r in networks.select("bits", F.col("net").isNull().alias("v6")).distinct().collect())
     sides = ["src", "dst"] if side in ("either", "both") else [side]
     for s in sides:
-        flows = match(flows, networks, s, lengths)
+        flows = _match(flows, networks, s, lengths)
     hits = [F.col(f"_in_{s}") for s in sides]
     keep = hits[0] if len(hits) == 1 else (hits[0] | hits[1] if side == "either" else hits[0] & hits[1])
     return flows.filter(keep).drop(*[f"_in_{s}" for s in sides])
 
 
-def _match_small(flows: DataFrame, networks: DataFrame, side: str, lengths: list) -> DataFrame:
-    addr = tuple(F.col(c) for c in ADDRESS_COLUMNS[side])
-    found = []
-    for i, (bits, v6) in enumerate(lengths):
-        names = ["net_hi", "net_lo"] if v6 else ["net"]
-        keys = [f"_k{i}_{n}" for n in names]
-        table = (
-            networks.filter((F.col("bits") == bits) & (F.col("net").isNull() == F.lit(v6)))
-            .select(*[F.col(n).alias(k) for n, k in zip(names, keys)])
-            .distinct()
-        )
-        cond = [e == F.col(k) for e, k in zip(_masked(addr, bits, v6), keys)]
-        flows = flows.join(F.broadcast(table), reduce(lambda a, b: a & b, cond), "left")
-        found.append(F.col(keys[0]).isNotNull())
-    hit = reduce(lambda a, b: a | b, found, F.lit(False))
-    return flows.withColumn(f"_in_{side}", hit).drop(*[c for c in flows.columns if c.startswith("_k")])
-
-
-def _match_large(flows: DataFrame, networks: DataFrame, side: str, lengths: list) -> DataFrame:
+def _match(flows: DataFrame, networks: DataFrame, side: str, lengths: list) -> DataFrame:
     cols = list(ADDRESS_COLUMNS[side])
     addr = tuple(F.col(c) for c in cols)
     null = F.lit(None).cast("bigint")
@@ -121,7 +94,7 @@ def _match_large(flows: DataFrame, networks: DataFrame, side: str, lengths: list
             )
             for bits, v6 in lengths
         ]
-    )
+    ) if lengths else F.array().cast("array<struct<bits:int,net:bigint,net_hi:bigint,net_lo:bigint>>")
     tried = flows.select(*cols).distinct().select(*cols, F.explode(tries).alias("t"))
     n = networks.alias("n")
     same = [F.col("t.bits") == F.col("n.bits")] + [

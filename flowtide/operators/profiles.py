@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.operators import predicates as P
-from flowtide.operators.statistics import bpp_histogram, class_counters, port_histogram
+from flowtide.operators.statistics import MAX_BPP, bpp_histogram, class_counters, port_histogram
 from flowtide.plans.slots import with_slot
 
 
@@ -38,7 +38,7 @@ def channel_port_histogram(flows: DataFrame, channels: dict[str, Column]) -> Dat
 
 
 def channel_bpp_histogram(flows: DataFrame, channels: dict[str, Column]) -> DataFrame:
-    return bpp_histogram(split(flows, channels), by=("channel",))
+    return bpp_histogram(split(flows, channels), MAX_BPP, by=("channel",))
 
 
 def channel_timeseries(flows: DataFrame, channels: dict[str, Column], width: str) -> DataFrame:

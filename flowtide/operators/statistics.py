@@ -80,7 +80,8 @@ def _per_value() -> list[Column]:
 def element_stats(flows: DataFrame, stat: str, per_protocol: bool = False) -> DataFrame:
     """Flows, packets, bytes, first and last time per value of one statistic.
 
-    A statistic over two fields counts a flow for both its values, once if they are equal.
+    A statistic over two fields counts a flow for both its values, once if they are equal or
+    both absent. Absent is a value of its own, NULL.
     Address statistics come with `value`, `value_hi`, `value_lo`, others with `value`.
     """
     kind, fields = STATISTICS[stat]
@@ -91,7 +92,7 @@ def element_stats(flows: DataFrame, stat: str, per_protocol: bool = False) -> Da
     else:
         a, b = values
         keyed = flows.select(
-            *cols, F.explode(F.when(a == b, F.array(a)).otherwise(F.array(a, b))).alias("v")
+            *cols, F.explode(F.when(a.eqNullSafe(b), F.array(a)).otherwise(F.array(a, b))).alias("v")
         )
     if kind == "address":
         key = [F.col("v.addr").alias("value"), F.col("v.hi").alias("value_hi"), F.col("v.lo").alias("value_lo")]
@@ -179,13 +180,14 @@ def port_histogram(flows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def bpp_histogram(flows: DataFrame, cap: int = MAX_BPP, by: tuple[str, ...] = ()) -> DataFrame:
+def bpp_histogram(flows: DataFrame, cap: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Flow count per protocol (TCP, UDP) and bytes per packet, within further columns `by`.
 
-    Values above `cap` share its row.
+    With a `cap` (MAX_BPP in the classic report) values above it share its row.
     """
+    value = R.bpp() if cap is None else F.least(R.bpp(), F.lit(cap))
     return (
         flows.filter(F.col("prot").isin(TCP, UDP))
-        .groupBy(*by, "prot", F.least(R.bpp(), F.lit(cap)).alias("bpp"))
+        .groupBy(*by, "prot", value.alias("bpp"))
         .agg(F.count(F.lit(1)).alias("flows"))
     )

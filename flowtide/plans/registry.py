@@ -6,7 +6,7 @@
 
 A metric takes a context and returns a DataFrame keyed by `slot`. The context gives it the
 flows, the shared tables and the results of the metrics it depends on. A shared table that
-several chosen metrics use is persisted once per run and released with the run.
+several chosen metrics use is written to the shared folder once per run and deleted with the run.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 from typing import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from flowtide.metrics import divergence, entropy, flooding, frequency, handshake, momentum
 from flowtide.metrics import centroid
-from flowtide.plans.slots import calendar, kept_tables, release, with_slot
+from flowtide.plans.slots import calendar, with_slot
+from flowtide.session import hold
 
 
 @dataclass(frozen=True)
@@ -58,14 +58,14 @@ class Context:
     flows: DataFrame
     width: str
     parameters: dict[str, dict] = field(default_factory=dict)
-    persisted: set[str] = field(default_factory=set)
+    shared: set[str] = field(default_factory=set)
     _tables: dict[str, DataFrame] = field(default_factory=dict)
     _results: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             df = SHARED[name](self)
-            self._tables[name] = df.persist(StorageLevel.DISK_ONLY) if name in self.persisted else df
+            self._tables[name] = hold(df, f"run-{name}") if name in self.shared else df
         return self._tables[name]
 
     def result(self, name: str) -> DataFrame:
@@ -80,17 +80,20 @@ class MetricRun:
     results: dict[str, DataFrame]
     order: list[str]
     _context: Context
-    _kept: list[DataFrame]
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.results[name]
 
     def release(self) -> None:
-        """Free the tables the run persisted; call it after the results were written."""
-        release(self._kept)
-        for name in self._context.persisted:
-            if name in self._context._tables:
-                self._context._tables[name].unpersist()
+        """Delete the tables the run wrote for its metrics; call it after the results were written.
+
+        Nothing of a run is held on executors, so a run that is not released only leaves files.
+        """
+        spark = self._context.flows.sparkSession
+        for name in self._context.shared & set(self._context._tables):
+            for folder in {f.rsplit("/", 1)[0] for f in self._context._tables[name].inputFiles()}:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def resolve(names) -> list[str]:
@@ -135,10 +138,9 @@ def metric_run(flows: DataFrame, metrics, width: str) -> MetricRun:
     ctx = Context(
         with_slot(flows, width), width, parameters, {t for t, k in uses.items() if k > 1}
     )
-    with kept_tables() as kept:
-        for name in order:
-            ctx._results[name] = METRICS[name].fn(ctx)
-    return MetricRun({n: ctx._results[n] for n in order}, order, ctx, kept)
+    for name in order:
+        ctx._results[name] = METRICS[name].fn(ctx)
+    return MetricRun({n: ctx._results[n] for n in order}, order, ctx)
 
 
 # --- the built-in metrics ---------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.rates import epoch_s
 from flowtide.plans import ordered
+from flowtide.session import hold
 
 
 def slot_width(seconds: float) -> str:
@@ -45,13 +46,16 @@ _KEPT: ContextVar[list[DataFrame] | None] = ContextVar("kept slot tables", defau
 def keep(df: DataFrame) -> DataFrame:
     """Hold a per-slot table that a plan refers to more than once.
 
-    One row per slot, so it is small whatever the flows are; a lost executor only costs
-    recomputing its part. Without this every reference would read the flows again.
+    One row per slot, so it is small whatever the flows are. Without this every reference
+    would read the flows again. Inside `kept_tables` it is persisted until the block's owner
+    releases it; elsewhere, where the result is computed after the caller has returned, it is
+    written to the shared folder, so that nothing stays on the executors.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     held = _KEPT.get()
-    if held is not None:
-        held.append(df)
+    if held is None:
+        return hold(df, "slots")
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(df)
     return df
 
 

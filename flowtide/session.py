@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Settings the plans of this library are made for; any session can take them at run time.
@@ -42,17 +40,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     tune(spark)
+    share_below_warehouse(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's `spark.checkpoint.dir`.
+    """A fresh folder that driver and executors share: below `spark.checkpoint.dir`.
 
-    Only where that setting is missing (tests on one machine) a local temporary
-    folder is made instead.
+    Where that setting is missing, the directory given to `SparkContext.setCheckpointDir`
+    counts. Without either there is no place every executor can read, and this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return os.path.join(tempfile.mkdtemp(prefix="flowtide-"), purpose)
+    if not root:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = given.get() if given.isDefined() else None
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/flowtide-{purpose}-{uuid.uuid4().hex}"
+
+
+def share_below_warehouse(spark: SparkSession) -> None:
+    """Where a session names no shared folder, share one below its warehouse, which is shared too."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
+
+
+def hold(df: DataFrame, purpose: str) -> DataFrame:
+    """`df` written to the shared folder and read back: computed once, and nothing to release on executors."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,6 @@ writes the same rows again instead of doubling them.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -104,10 +103,9 @@ def flush_stateful(landed: DataFrame, key: str, width: str, folder: str) -> None
     """At the end of the input, add the slots after the last released one."""
     spark = landed.sparkSession
     rest = key_counts(landed, key, width)
-    try:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/counters")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         last = spark.read.parquet(f"{folder}/counters").agg(F.max("slot")).first()[0]
         rest = rest.filter(F.col("slot") > F.lit(last).cast("timestamp_ntz"))
-    except AnalysisException:
-        pass  # nothing was released yet
     if not rest.isEmpty():
         add_slots(rest, key, width, folder)

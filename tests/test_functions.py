@@ -104,3 +104,13 @@ def test_formats(spark):
     assert set(documented) == set(X.TOKENS)
     every = X.format_flows(df, " ".join(f"%{t}" for t in documented))
     assert every.filter("line IS NULL").count() == 0
+
+
+def test_rates_do_not_overflow(spark):
+    rows = [(2**62, 86_400_000), (2**62, 1), (7, 0), (None, 5), (1_234_567, 89)]
+    df = spark.createDataFrame(rows, "b long, ms long")
+    got = df.select(R.bps(F.col("b"), F.col("ms")).alias("bps"), R.pps(F.col("b"), F.col("ms")).alias("pps")).collect()
+    most = 2**63 - 1
+    for (b, ms), r in zip(rows, got):
+        want = [None if b is None else 0 if ms == 0 else min(b * k // ms, most) for k in (8000, 1000)]
+        assert [r.bps, r.pps] == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -324,11 +325,12 @@ def test_registry_order_and_errors(spark):
 def test_metric_run_shares_and_releases(spark):
     df = make_flows(spark, random_flows(7, 80, 5))
     run = registry.metric_run(df, ["entropy", "kl", "ddos_test", {"name": "syn_flood", "threshold": 1.0}, "flooding_level", "stock_market", "centroid", "bytes", "flows"], WIDTH)
-    assert run._context.persisted == {"frequencies", "handshakes"}
+    assert run._context.shared == {"frequencies", "handshakes"}
     slots = run["flows"].count()
     for name in ("entropy", "kl", "ddos_test", "syn_flood", "flooding_level", "stock_market", "centroid", "bytes"):
         assert run[name].count() == slots, name
-    assert run._kept and all(t.is_cached for t in run._kept)
+    shared = run._context.table("frequencies")
+    assert not shared.is_cached and all(os.path.exists(f.removeprefix("file://")) for f in shared.inputFiles())
+    files = shared.inputFiles()
     run.release()
-    assert not any(t.is_cached for t in run._kept)
-    assert not run._context.table("frequencies").is_cached
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)

@@ -166,3 +166,11 @@ def test_conform_fills_missing(spark):
     from flowtide.schema import conform
 
     assert conform(files_df).schema.simpleString() == FLOW_SCHEMA.simpleString()
+
+
+def test_absent_fields_count_once_and_add_nothing(spark):
+    rows = [{}, {"src_vlan": 5}, {"src_vlan": 5, "dst_vlan": 5}, {"src_vlan": 5, "dst_vlan": 6}]
+    got = {r.value: r.flows for r in ST.element_stats(make_flows(spark, rows), "vlan").collect()}
+    assert got == {None: 2, 5: 3, 6: 1}
+    one_way = AG.aggregate_bidir(make_flows(spark, [{"src_addr": 1, "dst_addr": 2, "src_port": 10, "dst_port": 20, "packets": 3}])).first()
+    assert (one_way.packets, one_way.out_packets, one_way.out_bytes) == (3, 0, 0)

@@ -171,11 +171,10 @@ def test_time_frames():
     assert P.time_frame("2024/01/01", first, last) == (first, None)
 
 
-@pytest.mark.parametrize("broadcast_rows", [100, 0])
 @pytest.mark.parametrize(
     "side,want", [("src", [0, 2]), ("dst", [1, 2]), ("either", [0, 1, 2]), ("both", [2])]
 )
-def test_network_lists(spark, broadcast_rows, side, want):
+def test_network_lists(spark, side, want):
     rows = [
         {**v4("src", "10.1.2.3"), **v4("dst", "8.8.8.8")},
         {**v4("src", "8.8.8.8"), **v4("dst", "10.1.2.4")},
@@ -184,6 +183,6 @@ def test_network_lists(spark, broadcast_rows, side, want):
         {},
     ]
     nets = joins.network_table(spark, ["10.1.0.0/16", "10.0.0.0/8", "10.1.2.4", "2001:db8::/32", "::/128"])
-    out = joins.in_networks(make_flows(spark, rows), nets, side, broadcast_rows)
+    out = joins.in_networks(make_flows(spark, rows), nets, side)
     assert sorted(r.flow_id for r in out.collect()) == want
     assert "net" not in out.columns and len(out.columns) == len(set(out.columns))
