@@ -197,6 +197,20 @@ def _(spark, table_dir):
     return SS.run_slot_counters(stream_flows(spark, table_dir), load_flows(spark, table_dir), DAY, 900, folder)
 
 
+@table_query(
+    "stream_late_flows",
+    f"""WITH m AS (SELECT slot, max(epoch_us(first_ts) // 1000000) OVER (ORDER BY (flow_id % 10) * 1000000000000 + flow_id) AS seen FROM flows)
+        SELECT {SLOT}, count(*) AS late_flows FROM m WHERE seen - 900 >= epoch_us(slot) // 1000000 + 86400 GROUP BY slot""",
+    flows_sql=True,
+)
+def _(spark, table_dir):
+    folder = shared_folder(spark, "stream-late")
+    arrival = (F.col("flow_id") % 10) * F.lit(10**12) + F.col("flow_id")
+    SS.run_late_flows(stream_flows(spark, table_dir).withColumn("arrival", arrival), DAY, 900, folder, "arrival").awaitTermination()
+    late = spark.read.schema("slot timestamp_ntz, late_flows bigint").parquet(f"{folder}/late")
+    return late.groupBy("slot").agg(F.sum("late_flows").alias("late_flows"))
+
+
 def _run_stateful(spark, table_dir):
     folder = shared_folder(spark, "stream-state")
     stateful.run_stateful(stream_flows(spark, table_dir), "src", DAY, 900, folder).awaitTermination()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowtide.catalog.base import query, r6, table_query, ts
 from flowtide.jobs import anonymise as AN, features as FE, upkeep
@@ -266,3 +266,32 @@ def _(spark, table_dir):
     return pcs.select("component", "explained_variance", F.posexplode("loadings").alias("dim", "loading"))
 
 
+# What must hold of any result: every row is nearest to its own centre, no cluster is empty,
+# the cost is the sum of the distances, and the run ended by itself.
+_HOLDS = "SELECT CAST((SELECT count(*) FROM embeddings) AS BIGINT) AS n_rows, 4 AS clusters, true AS nearest, true AS cost_adds_up, true AS converged"
+
+
+def _invariants(scored: DataFrame, method: str, metric: str) -> DataFrame:
+    centres = FE.centre_vectors(FE.cluster_centres(scored, method=method))
+    table = centres.agg(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "centre"))), lambda e: e["centre"]).alias("c")).scalar()
+    own = FE.row_to_centre(scored, centres, metric).withColumn("_all", table)
+    own = own.withColumn("least", F.array_min(F.transform("_all", lambda c: FE.distance(F.col("features"), c, metric))))
+    # the cost of a k-means summary counts squares, euclid is their mean over the columns
+    scale = F.size("features") if method == "mean" else F.lit(1)
+    return own.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("cluster").cast("int").alias("clusters"),
+        F.bool_and(F.col("distance") <= F.col("least") + 1e-9).alias("nearest"),
+        (F.abs(F.sum(F.col("distance") * scale) / F.max("within_cost") - 1) < 1e-6).alias("cost_adds_up"),
+        F.bool_and("converged").alias("converged"),
+    )
+
+
+@table_query("kmeans_invariants", _HOLDS)
+def _(spark, table_dir):
+    return _invariants(FE.kmeans(_rows(spark, table_dir), k=4, restarts=2), "mean", "euclid")
+
+
+@table_query("kmedians_invariants", _HOLDS)
+def _(spark, table_dir):
+    return _invariants(FE.k_clusters(_rows(spark, table_dir), 4, "median", "cityblock"), "median", "cityblock")

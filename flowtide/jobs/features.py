@@ -159,23 +159,67 @@ def normalize_columns(rows: DataFrame, features: str = "features") -> DataFrame:
 # --- clusters -------------------------------------------------------------------
 
 
-def kmeans(rows: DataFrame, k: int, restarts: int = 1, seed: int = 1, features: str = "features", max_iter: int = 20) -> DataFrame:
+def kmeans(rows: DataFrame, k: int, restarts: int = 1, seed: int = 1, features: str = "features", max_iter: int = 1000) -> DataFrame:
     """Rows with their cluster from the best of several k-means runs (mean centres).
 
-    Adds `cluster` and `within_cost`, the sum of squared distances of the best run.
+    Adds `cluster`, `within_cost` (the sum of squared distances of the best run), `iterations`
+    and `converged`. A run goes on until its centres rest; one that `max_iter` ends raises.
+    Rows with missing values go to `k_clusters`, which leaves them out of sums one by one.
     """
+    missing = rows.filter(F.exists(features, lambda v: v.isNull()) | F.col(features).isNull()).limit(1)
+    if not missing.isEmpty():
+        return k_clusters(rows, k, "mean", restarts=restarts, seed=seed, features=features, max_iter=max_iter)
     data = rows.withColumn("_vec", array_to_vector(features)).persist()
     try:
         models = [
-            KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_vec", predictionCol="cluster").fit(data)
+            KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=0.0, featuresCol="_vec", predictionCol="cluster").fit(data)
             for i in range(restarts)
         ]
         best = min(models, key=lambda m: m.summary.trainingCost)
-        cost = best.summary.trainingCost
+        cost, steps = best.summary.trainingCost, best.summary.numIter
     finally:
         data.unpersist()
+    if steps >= max_iter:
+        raise RuntimeError(f"k-means has not converged in {max_iter} iterations")
     scored = best.transform(rows.withColumn("_vec", array_to_vector(features)))
-    return scored.drop("_vec").withColumn("within_cost", F.lit(float(cost)))
+    return scored.drop("_vec").withColumns({"within_cost": F.lit(float(cost)), "iterations": F.lit(steps), "converged": F.lit(True)})
+
+
+def _assigned(rows: DataFrame, centres: list[list[float | None]], metric: str, features: str) -> DataFrame:
+    """Rows with the nearest of a few centres, and the distance to it."""
+    listed = F.array(*[F.array(*[F.lit(v).cast("double") for v in c]) for c in centres])
+    far = F.transform(listed, lambda c, i: F.struct(distance(F.col(features), c, metric).alias("d"), i.alias("cluster")))
+    best = F.array_min(far)
+    return rows.withColumn("_near", best).withColumn("cluster", F.col("_near.cluster")).withColumn("_d", F.col("_near.d")).drop("_near")
+
+
+def k_clusters(rows: DataFrame, k: int, method: str = "mean", metric: str = "euclid", restarts: int = 1, seed: int = 1, features: str = "features", max_iter: int = 1000) -> DataFrame:
+    """Rows with their cluster: mean or median centres, any of METRICS, NULL values left out.
+
+    Adds the columns of `kmeans`; `within_cost` is the sum of distances to the own centre. Every
+    run starts from k rows with the least hashes, and goes on until the cost stops falling. The
+    driver holds k centres, never rows. A cluster that loses all rows keeps its centre.
+    """
+    best = None
+    for run in range(restarts):
+        order = F.xxhash64(F.lit(seed + run), F.to_json(F.struct(F.col(features).alias("f"))))
+        centres = [list(r[0]) for r in rows.filter(F.col(features).isNotNull()).select(F.col(features), order.alias("_o")).orderBy("_o").limit(k).collect()]
+        cost = float("inf")
+        for step in range(1, max_iter + 1):
+            near = _assigned(rows, centres, metric, features)
+            now = near.agg(F.sum("_d")).first()[0] or 0.0
+            if now >= cost:
+                break
+            cost, kept = now, centres
+            found = {r["cluster"]: list(r["centre"]) for r in centre_vectors(cluster_centres(near, features, "cluster", method)).collect()}
+            centres = [found.get(i, c) for i, c in enumerate(centres)]
+        else:
+            raise RuntimeError(f"{method} centres have not converged in {max_iter} iterations")
+        if best is None or cost < best[0]:
+            best = cost, kept, step
+    cost, centres, steps = best
+    out = _assigned(rows, centres, metric, features).drop("_d")
+    return out.withColumns({"within_cost": F.lit(float(cost)), "iterations": F.lit(steps), "converged": F.lit(True)})
 
 
 def cluster_centres(rows: DataFrame, features: str = "features", cluster: str = "cluster", method: str = "mean") -> DataFrame:

@@ -81,23 +81,52 @@ def run_slot_counters(stream: DataFrame, landed: DataFrame, width: str, timeout_
     schema = "slot timestamp_ntz, flows bigint, packets bigint, bytes bigint"
     released = spark.read.schema(schema).parquet(f"{folder}/slots")
     last = released.agg(F.max("slot").alias("last")).scalar()
-    rest = slot_counters(landed, width).filter(last.isNull() | (F.col("slot") > last))
+    # flows of later slots only: the condition reaches the scan of what has landed
+    after = last + F.expr(f"INTERVAL '{width_seconds(width)}' SECOND")
+    rest = slot_counters(landed.filter(last.isNull() | (F.col("first_ts") >= after)), width)
     return released.unionByName(rest)
 
 
-def late_flows(flows: DataFrame, width: str, timeout_s: int, arrival: str = "flow_id") -> DataFrame:
+def late_flows(flows: DataFrame, width: str, timeout_s: int, arrival: str = "flow_id", seen_s: int | None = None) -> DataFrame:
     """Flows per slot that arrive after their slot was released, replaying the arrival order.
 
     A slot is released when some earlier flow started `timeout_s` seconds or more after the
-    slot's end. The running maximum over the arrivals is computed in blocks, not in one task.
+    slot's end; `seen_s` is the latest start (epoch seconds) before these flows. The running
+    maximum over the arrivals is computed in blocks, not in one task.
     """
     seen = flows.select(F.col(arrival).alias("_arrival"), slot(width).alias("slot"), epoch_s("first_ts").alias("_s"))
     seen = ordered.running(seen, "_arrival", {"_max_s": ("max", F.col("_s"))}, block=ARRIVAL_BLOCK)
     # a flow later than its slot's release cannot itself be the running maximum
-    released = F.col("_max_s") - F.lit(timeout_s) >= epoch_s("slot") + F.lit(width_seconds(width))
+    latest = F.greatest(F.col("_max_s"), F.lit(seen_s).cast("bigint"))
+    released = latest - F.lit(timeout_s) >= epoch_s("slot") + F.lit(width_seconds(width))
     return seen.filter(released).groupBy("slot").agg(F.count(F.lit(1)).alias("late_flows"))
 
 
+def run_late_flows(stream: DataFrame, width: str, timeout_s: int, folder: str, arrival: str = "flow_id") -> StreamingQuery:
+    """Live counts of late flows: `<folder>/late` (slot, late_flows), a part for each batch.
+
+    A batch carries on from the latest start seen before it, kept as one row per batch in
+    `<folder>/seen`; a repeated batch replaces its own parts.
+    """
+
+    def on_batch(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        schema = "latest bigint, batch bigint"
+        before = spark.createDataFrame([], schema)
+        if epoch:
+            before = spark.read.schema(schema).parquet(f"{folder}/seen").filter(F.col("batch") < epoch)
+        seen = before.agg(F.max("latest")).first()[0]
+
+        def write(df: DataFrame, name: str) -> None:
+            writer = df.withColumn("batch", F.lit(epoch).cast("bigint")).write.mode("overwrite")
+            writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/{name}")
+
+        write(late_flows(batch, width, timeout_s, arrival, seen), "late")
+        write(batch.agg(F.max(epoch_s("first_ts")).alias("latest")), "seen")
+
+    query = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{folder}/late_checkpoint")
+    return query.trigger(availableNow=True).start()
+
 def capture(stream: DataFrame, width: str, path: str, checkpoint: str) -> StreamingQuery:
     """Store flows in one folder per time window."""
     named = stream.withColumn("capture", F.date_format(slot(width), "yyyyMMddHHmmss"))

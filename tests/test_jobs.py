@@ -222,3 +222,18 @@ def test_clusters_and_components(spark):
         assert abs(np.dot(r.loadings, vectors[:, -1 - i])) == pytest.approx(1.0, abs=1e-6)
         assert r.explained_variance == pytest.approx(values[-1 - i] / values.sum())
     assert len(FE.project_components(df, 2).first().coordinates) == 2
+
+
+def test_clusters_with_missing_values_and_medians(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [None if k == 0 and rng.random() < 0.3 else float(v) for k, v in enumerate(np.array([0, 5, -5]) * (i % 3) + rng.normal(0, 0.2, 3))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, features array<double>")
+    for scored in (FE.kmeans(df, 3, restarts=6), FE.k_clusters(df, 3, "median", "cityblock", restarts=6)):
+        found = scored.collect()
+        groups = {}
+        for r in found:
+            groups.setdefault(r.i % 3, set()).add(r.cluster)
+        assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == 3
+        assert all(r.converged and r.within_cost > 0 for r in found)
+    with pytest.raises(RuntimeError):
+        FE.k_clusters(df, 3, max_iter=1)

@@ -124,3 +124,17 @@ def test_capture_and_channels(spark, tmp_path):
     SS.to_files(live, str(tmp_path / "ch"), str(tmp_path / "c2")).awaitTermination()
     for r in spark.read.parquet(str(tmp_path / "ch")).collect():
         assert r.flows == landed.filter(channels[r.channel]).filter(F.date_trunc("minute", "first_ts") == r.slot).count()
+
+
+def test_late_flows_live_over_batches(spark, tmp_path):
+    """Several micro-batches count what one replay of all arrivals counts."""
+    rows = [{"flow_id": i, "first_ts": at(t), "last_ts": at(t)} for i, t in enumerate([0, 30, 400, 20, 70, 410, 900, 5, 420, 800, 901, 10])]
+    for k in range(4):
+        make_flows(spark, rows[3 * k : 3 * k + 3]).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
+    landed = spark.read.parquet(str(tmp_path / "landed"))
+    stream = SS.read_flow_stream(spark, str(tmp_path / "landed"), 1)
+    SS.run_late_flows(stream, "1 minute", 60, str(tmp_path / "out")).awaitTermination()
+    late = spark.read.parquet(str(tmp_path / "out/late"))
+    got = {(r.slot, r.n) for r in late.groupBy("slot").agg(F.sum("late_flows").alias("n")).collect()}
+    assert got == {(r.slot, r.late_flows) for r in SS.late_flows(landed, "1 minute", 60).collect()} and got
+    assert spark.read.parquet(str(tmp_path / "out/seen")).count() == 4
