@@ -29,6 +29,8 @@ from flowtide.llm.textbytes import segments_hash, text_bytes
 
 #: bytes of a string that counts as repeated
 WINDOW = 100
+#: rows of a batch that a task sends on
+BATCH_ROWS = 1 << 16
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: a fixed shuffle of the byte values, for a second hash
@@ -54,6 +56,20 @@ def _longs(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
 
 
+def _gathered(names: list[str], parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """The parts of many texts in batches of some tens of thousands of rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+    for part in parts:
+        held.append(part)
+        rows += len(part[0])
+        if rows >= BATCH_ROWS:
+            yield _longs(names, *map(np.concatenate, zip(*held)))
+            held, rows = [], 0
+    if rows:
+        yield _longs(names, *map(np.concatenate, zip(*held)))
+
+
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
     """Row, key and bytes of each text of a batch with columns u, text."""
     data, offsets = text_bytes(batch.column("text"))
@@ -62,19 +78,13 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def _samples(keyed: DataFrame, window: int) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
-            found: list[tuple[np.ndarray, ...]] = []
             for _, u, data in _each(batch):
                 at, gram, first, last = anchors(data, window)
-                found.append((gram, np.full(len(at), u), _pack(at, first, last)))
-                if sum(len(f[0]) for f in found) > 1 << 17:
-                    yield _longs(["gram", "u", "place"], *map(np.concatenate, zip(*found)))
-                    found = []
-            if found:
-                yield _longs(["gram", "u", "place"], *map(np.concatenate, zip(*found)))
+                yield gram, np.full(len(at), u), _pack(at, first, last)
 
-    return keyed.mapInArrow(rows, "gram long, u long, place long")
+    return keyed.mapInArrow(lambda batches: _gathered(["gram", "u", "place"], rows(batches)), "gram long, u long, place long")
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -93,7 +103,7 @@ def _with_samples(keyed: DataFrame, samples: DataFrame) -> DataFrame:
 def _named(with_samples: DataFrame, window: int) -> DataFrame:
     """Each sample's name: hashes of all bytes of the runs that belong to it, and where it is in them."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             offsets, fields = _lists(batch, "samples")
             for k, u, data in _each(batch):
@@ -101,9 +111,9 @@ def _named(with_samples: DataFrame, window: int) -> DataFrame:
                 at, first, last = _unpack(place)
                 a, b = _hashes(data, first, last + window)
                 shape = (place & 0xFFFF).astype(np.uint64)
-                yield _longs(["gram", "a", "b", "u", "place"], gram, a ^ shape, b, np.full(len(at), u), place)
+                yield gram, (a ^ shape).view(np.int64), b.view(np.int64), np.full(len(at), u), place
 
-    return with_samples.mapInArrow(rows, "gram long, a long, b long, u long, place long")
+    return with_samples.mapInArrow(lambda batches: _gathered(["gram", "a", "b", "u", "place"], rows(batches)), "gram long, a long, b long, u long, place long")
 
 
 def _surroundings(with_samples: DataFrame, window: int) -> DataFrame:
@@ -112,14 +122,17 @@ def _surroundings(with_samples: DataFrame, window: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, fields = _lists(batch, "samples")
-            for k, u, data in _each(batch):
-                place, gram = (fields[n][offsets[k] : offsets[k + 1]] for n in ("place", "gram"))
-                at, first, last = (x.tolist() for x in _unpack(place))
+            left, right = [], []
+            for k, _, data in _each(batch):
+                at, first, last = (x.tolist() for x in _unpack(fields["place"][offsets[k] : offsets[k + 1]]))
                 text = data.tobytes()
-                left = [text[f:q][::-1] for q, f in zip(at, first)]
-                right = [text[q : e + window] for q, e in zip(at, last)]
-                columns = [pa.array(gram), pa.array(np.full(len(at), u)), pa.array(place), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
-                yield pa.record_batch(columns, names=["gram", "u", "place", "left", "right"])
+                left += [text[f:q][::-1] for q, f in zip(at, first)]
+                right += [text[q : e + window] for q, e in zip(at, last)]
+            u = np.repeat(batch.column("u").to_numpy(), np.diff(offsets))
+            columns = [pa.array(fields["gram"]), pa.array(u), pa.array(fields["place"]), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+            whole = pa.record_batch(columns, names=["gram", "u", "place", "left", "right"])
+            for lo in range(0, len(u), BATCH_ROWS):
+                yield whole.slice(lo, BATCH_ROWS)
 
     return with_samples.mapInArrow(rows, "gram long, u long, place long, left binary, right binary")
 
@@ -223,28 +236,35 @@ def stored_tidily(df: DataFrame, purpose: str) -> DataFrame:
 
 
 _RESULT = "struct<n_bytes:bigint,n_removed:bigint,spans:array<struct<begin:bigint,end:bigint>>,kept:binary>"
-_ARROW_RESULT = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
 def _cut(window: int):
     def cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
-        rows = []
-        for text, some in zip(texts.to_pylist(), ranges.to_pylist()):
-            data = (text or "").encode()
-            spans: list[dict[str, int]] = []
-            for r in sorted((r["first"], r["last"]) for r in some or ()):
-                if spans and r[0] <= spans[-1]["end"]:
-                    spans[-1]["end"] = max(spans[-1]["end"], r[1] + window)
-                else:
-                    spans.append({"begin": r[0], "end": r[1] + window})
-            kept, at = [], 0
-            for s in spans:
-                kept.append(data[at : s["begin"]])
-                at = s["end"]
-            kept.append(data[at:])
-            whole = b"".join(kept)
-            rows.append({"n_bytes": len(data), "n_removed": len(data) - len(whole), "spans": spans, "kept": whole})
-        return pa.array(rows, _ARROW_RESULT)
+        data, at = text_bytes(texts)
+        some = pa.record_batch([ranges], names=["r"])
+        offsets, fields = _lists(some, "r")
+        removed, n_spans, kept = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
+        begins, ends = [], []
+        for k, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+            own = data[at[k] : at[k + 1]]
+            if a == b:
+                kept.append(own.tobytes())
+                continue
+            order = np.argsort(fields["first"][a:b], kind="stable")
+            first, last = fields["first"][a:b][order], np.maximum.accumulate(fields["last"][a:b][order] + window)
+            new = np.append(True, first[1:] > last[:-1])
+            begin, end = first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(last) - 1)]
+            begins.append(begin)
+            ends.append(end)
+            marks = np.zeros(len(own) + 1, np.int32)
+            marks[begin] += 1
+            marks[end] -= 1
+            stays = np.cumsum(marks[:-1]) == 0
+            kept.append(own[stays].tobytes())
+            removed[k], n_spans[k] = int((end - begin).sum()), len(begin)
+        spans = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (begins, ends)], names=["begin", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)), spans)
+        return pa.StructArray.from_arrays([pa.array(np.diff(at)), pa.array(removed), lists, pa.array(kept, pa.binary())], names=["n_bytes", "n_removed", "spans", "kept"])
 
     return cut
 

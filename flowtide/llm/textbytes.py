@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes handled at once; bounds the arrays of eight bytes per text byte
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 
 #: odd multiplier of the byte polynomial, modulo 2**64
 _BASE = 0x9E3779B97F4A7C15 | 1
