@@ -254,8 +254,9 @@ def learn(table: pa.Table | None) -> DecisionList:
 def train(counted: DataFrame, labels: DataFrame, statistics: str, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DecisionList:
     """Learn from the labelled rows of `counted`, which has a struct column `statistics`.
 
-    About `sample` rows of each class (label 1 is good, 0 bad), by hashes of their ids; other labels, and labels without a row, are left out. Without bad rows the
-    list is empty and drops nothing.
+    About `sample` rows of each class (label 1 is good, 0 bad), by hashes of their ids; other
+    labels, and labels without a row, are left out. Without bad rows the list is empty and drops
+    nothing.
     """
     known = labels.select(F.col(id_col).alias("_key"), (F.col(label_col) == 0).alias("bad")).filter(F.col("_key").isNotNull() & F.col(label_col).isin(0, 1))
     features = [F.expr(sql.format(s=f"`{statistics}`")).cast("double").alias(name) for name, sql in FEATURES.items()]

@@ -385,4 +385,5 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     rows, u = numbered(docs, id_col, text_col)
     found = near_duplicates(rows, u, text_col, shingle, radius)
     keep = stored(found.filter(F.col(u) == F.col("component")).select(F.col(u).alias("_keep")), "keep")
-    return rows.join(keep, F.col(u) == F.col("_keep"), "left_semi").drop(u)
+    # what is kept grows with the rows: the same merge join at every size
+    return rows.hint("merge").join(keep, F.col(u) == F.col("_keep"), "left_semi").drop(u)
