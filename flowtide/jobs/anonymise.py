@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.schema import ADDRESS_COLUMNS
+from flowtide.session import hold
 
 
 def parse_key(text: str) -> bytes:
@@ -100,13 +101,14 @@ def anonymise_v6(hi: Column, lo: Column, key: bytes) -> tuple[Column, Column]:
     return flips(0).bitwiseXOR(hi), flips(64).bitwiseXOR(lo)
 
 
-def address_map(flows: DataFrame, name: str, key: bytes) -> DataFrame:
-    """Distinct values of one address of the flows next to their anonymised form.
+def address_map(flows: DataFrame, names: tuple[str, ...], key: bytes) -> DataFrame:
+    """Distinct values of some addresses of the flows next to their anonymised form.
 
-    Addresses are (`v4`, `hi`, `lo`), the results `anon_v4`, `anon_hi`, `anon_lo`.
+    Addresses are (`v4`, `hi`, `lo`), the results `anon_v4`, `anon_hi`, `anon_lo`. The flows are
+    read once for all of them.
     """
-    v4, hi, lo = ADDRESS_COLUMNS[name]
-    distinct = flows.select(F.col(v4).alias("v4"), F.col(hi).alias("hi"), F.col(lo).alias("lo")).distinct()
+    every = F.array(*[F.struct(*[F.col(c).alias(k) for c, k in zip(ADDRESS_COLUMNS[n], ("v4", "hi", "lo"))]) for n in names])
+    distinct = flows.select(F.explode(every).alias("a")).select("a.*").distinct()
     a_hi, a_lo = anonymise_v6(F.col("hi"), F.col("lo"), key)
     has_v6 = F.col("hi").isNotNull()
     return distinct.filter(F.col("v4").isNotNull() | has_v6).select(
@@ -120,14 +122,14 @@ def address_map(flows: DataFrame, name: str, key: bytes) -> DataFrame:
 def anonymise(flows: DataFrame, key: bytes | str) -> DataFrame:
     """All five addresses of a flow anonymised, AS numbers set to 0.
 
-    One map per address: those with few values (next hops, routers) are small enough for a
-    broadcast join, which the optimizer decides from their size; skewed addresses are split
-    by adaptive execution.
+    One map for all addresses, each encrypted once, is written to the shared folder; flows meet
+    it once per address. The optimizer broadcasts it where it is small, and adaptive execution
+    splits frequent addresses.
     """
     key = parse_key(key) if isinstance(key, str) else key
+    table = hold(address_map(flows, tuple(ADDRESS_COLUMNS), key), "addresses")
     out = flows
     for name, cols in ADDRESS_COLUMNS.items():
-        table = address_map(flows, name, key)
         renamed = table.select(*[F.col(c).alias(f"_{name}_{c}") for c in table.columns])
         cond = None
         for c, k in zip(cols, ("v4", "hi", "lo")):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide.functions import rates as R
 
@@ -26,27 +24,29 @@ def order_value(order: str, flows_column: str = "flows") -> Column:
     return value.cast("bigint")
 
 
-def _top(df: DataFrame, order: str, n: int, tie: list[str], flows_column: str) -> DataFrame:
-    ranked = (
-        df.withColumn("rank_value", order_value(order, flows_column))
-        .filter("rank_value > 0")
-        .withColumn("ordered_by", F.lit(order))
-    )
+def _top(df: DataFrame, orders, n: int, tie: list[str], flows_column: str) -> DataFrame:
+    """One row per order of each row of `df`, of which the n largest of each order are kept.
+
+    The aggregation below is computed once whatever the orders are; every task keeps its own n
+    largest of an order before rows of one order meet.
+    """
+    values = F.array(*[F.struct(F.lit(o).alias("ordered_by"), order_value(o, flows_column).alias("rank_value")) for o in orders])
+    ranked = df.withColumn("_o", F.explode(values)).withColumns({"rank_value": F.col("_o.rank_value"), "ordered_by": F.col("_o.ordered_by")})
+    ranked = ranked.drop("_o").filter("rank_value > 0")
     if n == 0:
         return ranked
-    return ranked.orderBy(F.col("rank_value").desc(), *[F.col(c).asc() for c in tie]).limit(n)
+    order = Window.partitionBy("ordered_by").orderBy(F.col("rank_value").desc(), *[F.col(c).asc() for c in tie])
+    return ranked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
 
 
 def top_elements(stats: DataFrame, orders=("flows",), n: int = 10, tie: list[str] | None = None) -> DataFrame:
     """The n largest rows of an element statistic under each order; n = 0 keeps all.
 
     Rows whose value is 0 do not rank. `ordered_by` and `rank_value` say which order a row
-    belongs to. With n > 0 each order is one take-ordered step, not a full sort. The
-    aggregation below is shuffled once and reused by all orders, as long as the columns
-    kept afterwards are the same for each (the times are part of two of them).
+    belongs to.
     """
     tie = [c for c in stats.columns if c == "prot" or c.startswith("value")] if tie is None else tie
-    return reduce(DataFrame.unionByName, [_top(stats, o, n, tie, "flows") for o in orders])
+    return _top(stats, orders, n, tie, "flows")
 
 
 def top_flows(merged: DataFrame, orders=("flows",), n: int = 10, tie: list[str] | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def top_flows(merged: DataFrame, orders=("flows",), n: int = 10, tie: list[str]
             "packets", "bytes", "out_packets", "out_bytes", "first_ts", "last_ts", "tcp_flags", "aggr_flows",
         }
         tie = [c for c in merged.columns if c not in counters]
-    return reduce(DataFrame.unionByName, [_top(merged, o, n, tie, "aggr_flows") for o in orders])
+    return _top(merged, orders, n, tie, "aggr_flows")
 
 
 def sort_by_date(flows: DataFrame) -> DataFrame:
