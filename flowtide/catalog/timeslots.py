@@ -348,6 +348,21 @@ def _(flows):
 # --- metric runs --------------------------------------------------------------------
 
 
+@query(
+    "late_flows_sparse_arrivals",
+    f"""WITH a AS (SELECT slot, first_ts, (flow_id % 10) * 1000000000000 + flow_id AS arrival FROM flows),
+        m AS (SELECT slot, max(epoch_us(first_ts) // 1000000) OVER (ORDER BY arrival) AS seen FROM a)
+        SELECT {SLOT}, count(*) AS late_flows FROM m WHERE seen - 900 >= epoch_us(slot) // 1000000 + 86400 GROUP BY slot""",
+)
+def _(flows):
+    # the same order, with gaps of a million between two arrivals
+    arrival = ((F.col("flow_id") % 10) * F.lit(10**12) + F.col("flow_id")) * F.lit(1_000_003)
+    return late_flows(flows.withColumn("arrival", arrival), DAY, 900, "arrival")
+
+
+# --- metric runs --------------------------------------------------------------------
+
+
 @query(
     "metric_run_with_dependencies",
     f"""WITH {_COUNTS}, {_PRODUCT_CTE}

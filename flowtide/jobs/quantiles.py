@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median", accuracy: int = 100_000) -> DataFrame:
+def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median", accuracy: int = 10_000) -> DataFrame:
     """The median of `value` per group; NULL values do not count.
 
     A sketch first brackets the middle ranks of each group; its rank error is at most
@@ -31,4 +31,6 @@ def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median",
         return F.max(F.when((F.col("_from") < rank) & (rank <= F.col("_upto")), F.col("_x")))
 
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    return ranked.groupBy(*by).agg(((at(lower) + at(upper)) / 2).alias(out))
+    # a bracket that missed a middle rank must not pass for a group without values
+    missed = F.raise_error(F.lit("the bracket of a median missed its rank; raise `accuracy`")).cast("double")
+    return ranked.groupBy(*by).agg(F.coalesce((at(lower) + at(upper)) / 2, missed).alias(out))

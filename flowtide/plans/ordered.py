@@ -17,8 +17,21 @@ from flowtide.functions.rates import int_div
 BLOCK = 4096
 
 
-def _in_blocks(df: DataFrame, order: str, block: int) -> DataFrame:
-    size = F.lit(block).cast("bigint")
+def even_block(df: DataFrame, order: str, rows: int) -> Column:
+    """Width of a block that holds about `rows` rows where the order column is evenly spread.
+
+    A scalar subquery over its least, its greatest and their number, so that a sparse order (of
+    microseconds, say) is not cut into a block for every row.
+    """
+    blocks = F.greatest(int_div(F.count(F.lit(1)), F.lit(rows).cast("bigint")), F.lit(1).cast("bigint"))
+    # halves, so that the span of any two numbers fits
+    half = int_div(F.max(order), F.lit(2).cast("bigint")) - int_div(F.min(order), F.lit(2).cast("bigint"))
+    width = F.greatest(int_div(half, blocks), F.lit(1).cast("bigint")) * 2
+    return df.agg(F.coalesce(width, F.lit(1).cast("bigint")).alias("w")).scalar()
+
+
+def _in_blocks(df: DataFrame, order: str, block: int | Column) -> DataFrame:
+    size = block if isinstance(block, Column) else F.lit(block).cast("bigint")
     start = F.col(order) - F.pmod(F.col(order), size)
     return df.withColumn("_blk", int_div(start, size))
 
@@ -37,7 +50,7 @@ def _with_carry(local: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
 
 
 def running(
-    df: DataFrame, order: str, values: dict[str, tuple], by: tuple[str, ...] = (), block: int = BLOCK
+    df: DataFrame, order: str, values: dict[str, tuple], by: tuple[str, ...] = (), block: int | Column = BLOCK
 ) -> DataFrame:
     """Add running values along `order` within `by`, the current row included.
 

@@ -72,3 +72,14 @@ def test_no_window_without_partition_sees_all_rows(spark):
     assert out.filter("n <> pos + 1").count() == 0
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "_blk" in plan
+
+
+def test_sparse_orders_get_few_blocks(spark):
+    """Ten thousand rows a million apart make blocks of rows, not a block for each row."""
+    df = spark.range(10_000).select((F.col("id") * 1_000_003).alias("o"), F.col("id").alias("v"))
+    width = ordered.even_block(df, "o", 1000)
+    blocks = df.select(F.floor(F.col("o") / width).alias("b")).groupBy("b").count().collect()
+    assert 9 <= len(blocks) <= 12 and max(r["count"] for r in blocks) <= 1100
+    got = ordered.running(df, "o", {"s": ("sum", F.col("v"))}, block=width).orderBy("o").collect()
+    assert [r.s for r in got[:100]] == [i * (i + 1) // 2 for i in range(100)] and got[-1].s == 9999 * 5000
+    assert ordered.running(df.limit(0), "o", {"s": ("sum", F.col("v"))}, block=ordered.even_block(df.limit(0), "o", 5)).count() == 0
