@@ -212,6 +212,9 @@ class _ShardWriter:
             writer.close()
             file.close()
         for unfinished, name in self.names:
+            # an earlier attempt may have come this far; what it wrote is the same
+            if self.fs.get_file_info(name).type != pafs.FileType.NotFound:
+                self.fs.delete_file(name)
             self.fs.move(unfinished, name)
 
 
