@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowtide.catalog.base import FLOWS_CTE, query
+from flowtide.functions import text as X
 from flowtide.operators import aggregate as AG, joins, predicates as P, statistics as ST
 
 #: high half of 2001:db8::
@@ -127,3 +128,22 @@ def _(flows):
         F.sum(F.col("bytes") + F.col("out_bytes")).alias("all_bytes"),
         F.bool_and(F.col("out_packets").isNotNull() & F.col("out_bytes").isNotNull()).alias("none_absent"),
     )
+
+
+@_query(
+    "lines_long6",
+    """SELECT flow_id, lpad(CASE WHEN is_v6 THEN '2001:0db8:0000:0000:0000:0000:0a00:' || lpad(lower(to_hex(src_lo % 65536)), 4, '0')
+              ELSE '10.0.0.' || (src_addr % 256) END, 39, ' ') AS line FROM mixed""",
+)
+def _(flows):
+    return flows.select("flow_id", X.format_line("%sa", long_v6=True).alias("line"))
+
+
+@_query(
+    "lines_plain_numbers",
+    """SELECT flow_id, rpad(CAST(prot AS VARCHAR), 5, ' ') || ' ' || lpad(CAST(packets AS VARCHAR), CAST(greatest(8, length(CAST(packets AS VARCHAR))) AS INT), ' ')
+              || ' ' || lpad(CAST(bytes * 1000000 AS VARCHAR), CAST(greatest(8, length(CAST(bytes * 1000000 AS VARCHAR))) AS INT), ' ') AS line FROM mixed""",
+)
+def _(flows):
+    large = flows.withColumn("bytes", F.col("bytes") * 1_000_000)
+    return large.select("flow_id", X.format_line("%pr %pkt %byt", plain=True).alias("line"))

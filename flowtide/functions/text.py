@@ -64,24 +64,24 @@ def _counter(name: str) -> Column:
     return _right(scaled_number(_given(name), True), 8)
 
 
-def _address(name: str) -> Column:
-    return _right(F.coalesce(A.ip_string(name, long_v6=False), F.lit("0.0.0.0")), 16)
+def _address(name: str, long_v6: bool = False) -> Column:
+    return _right(F.coalesce(A.ip_string(name, long_v6=long_v6), F.lit("0.0.0.0")), 39 if long_v6 else 16)
 
 
 def _mac(name: str) -> Column:
     return A.mac_string(_given(name).cast("bigint"))
 
 
-def _address_port(side: str) -> Column:
+def _address_port(side: str, long_v6: bool = False) -> Column:
     sep = F.when(F.col(f"{side}_addr").isNotNull(), F.lit(":")).otherwise(F.lit("."))
-    return F.concat(_address(side), sep, _left(A.port_string(side), 5))
+    return F.concat(_address(side, long_v6), sep, _left(A.port_string(side), 5))
 
 
-def _net(side: str) -> Column:
+def _net(side: str, long_v6: bool = False) -> Column:
     v4, hi, lo = A.network(side)
-    v6 = A.condense_v6(A.ip6_string(hi, lo))
+    v6 = A.ip6_string(hi, lo) if long_v6 else A.condense_v6(A.ip6_string(hi, lo))
     text = F.when(v4.isNotNull(), A.ip4_string(v4)).otherwise(v6)
-    return F.concat(_right(text, 16), F.lit("/"), _left(_given(f"{side}_mask").cast("string"), 2))
+    return F.concat(_right(text, 39 if long_v6 else 16), F.lit("/"), _left(_given(f"{side}_mask").cast("string"), 2))
 
 
 def _proto() -> Column:
@@ -161,6 +161,34 @@ FORMATS = {
 }
 
 
+# Tokens of addresses, and how many blanks widen their titles in the long form.
+_LONG_V6 = {
+    **{t: (lambda n=n: _address(n, True)) for t, n in {"sa": "src", "da": "dst", "nh": "next_hop", "nhb": "bgp_next_hop", "ra": "router"}.items()},
+    **{t: (lambda n=n: _net(n, True)) for t, n in {"sn": "src", "dn": "dst"}.items()},
+    **{t: (lambda n=n: _address_port(n, True)) for t, n in {"sap": "src", "dap": "dst"}.items()},
+}
+_WIDER = " " * 23
+
+# Numbers as they are: counters and rates without units, protocols by number.
+_PLAIN = {
+    "pr": lambda: _left(_given("prot").cast("string"), 5),
+    **{
+        t: (lambda c=c: _right(_given(c).cast("string"), 8))
+        for t, c in {"pkt": "packets", "ipkt": "packets", "opkt": "out_packets", "byt": "bytes", "ibyt": "bytes", "obyt": "out_bytes"}.items()
+    },
+    "bps": lambda: _right(R.bps().cast("string"), 8),
+    "pps": lambda: _right(R.pps().cast("string"), 8),
+}
+
+
+def _expression(token: str, long_v6: bool, plain: bool) -> Column:
+    if long_v6 and token in _LONG_V6:
+        return _LONG_V6[token]()
+    if plain and token in _PLAIN:
+        return _PLAIN[token]()
+    return TOKENS[token][1]()
+
+
 def _parts(fmt: str) -> list[tuple[str, str]]:
     """Split a format into ("text", s) and ("token", name)."""
     out = []
@@ -174,20 +202,27 @@ def _parts(fmt: str) -> list[tuple[str, str]]:
     return out
 
 
-def format_line(fmt: str = "line") -> Column:
-    """One output line per flow; absent fields print as 0."""
+def format_line(fmt: str = "line", long_v6: bool = False, plain: bool = False) -> Column:
+    """One output line per flow; absent fields print as 0.
+
+    `long_v6` writes IPv6 addresses in full, in columns of 39; `plain` writes counters, rates
+    and protocols as bare numbers.
+    """
     return F.concat(
         *[
-            F.lit(p) if kind == "text" else F.coalesce(TOKENS[p][1](), F.lit(""))
+            F.lit(p) if kind == "text" else F.coalesce(_expression(p, long_v6, plain), F.lit(""))
             for kind, p in _parts(fmt)
         ]
     )
 
 
-def format_header(fmt: str = "line") -> str:
-    return "".join(p if kind == "text" else TOKENS[p][0] for kind, p in _parts(fmt))
+def format_header(fmt: str = "line", long_v6: bool = False) -> str:
+    def title(token: str) -> str:
+        return (_WIDER if long_v6 and token in _LONG_V6 else "") + TOKENS[token][0]
+
+    return "".join(p if kind == "text" else title(p) for kind, p in _parts(fmt))
 
 
-def format_flows(flows: DataFrame, fmt: str = "line") -> DataFrame:
+def format_flows(flows: DataFrame, fmt: str = "line", long_v6: bool = False, plain: bool = False) -> DataFrame:
     """Project each flow to one text line. `fmt` is a name of FORMATS or a token string."""
-    return flows.select(format_line(fmt).alias("line"))
+    return flows.select(format_line(fmt, long_v6, plain).alias("line"))
