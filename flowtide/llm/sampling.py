@@ -31,17 +31,20 @@ def sampled_texts(sample: DataFrame, docs: DataFrame, key: str, id_col: str, tex
 
 
 def fitted(sample: DataFrame, order: str, fit: Callable[[pa.Table], Any]) -> Any:
-    """What `fit` makes of a bounded sample, in one task, in an order that does not vary."""
+    """What `fit` makes of a bounded sample, in one task, in an order that does not vary.
+
+    Only the sample's rows go to that task; what they are chosen from is read by many.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [*batches]
         table = pa.Table.from_batches(held) if held else None
         yield pa.record_batch([pa.array([pickle.dumps(fit(table.sort_by(order) if table else None))], pa.binary())], names=["model"])
 
-    rows = sample.coalesce(1).mapInArrow(task, "model binary").collect()
+    rows = sample.repartition(1).mapInArrow(task, "model binary").collect()
     return pickle.loads(rows[0][0]) if rows else fit(None)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of an id as text, modulo `folds`."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
+    """crc32 of an id as text (of no text for a null id), modulo `folds`."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
