@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from flowtide.llm import anchors, mixing, simhash, suffixes, tokens, urls
+from flowtide.llm import anchors, mixing, overlaps, simhash, suffixes, tokens, urls
 from flowtide.llm.common import fresh_name, shared_path, shared_root
 from flowtide.llm.components import components
 from flowtide.llm.queries import MIX_SQL, ORACLES, QUERIES, tokenizer_file
@@ -122,6 +122,40 @@ def test_near_duplicates_of_rows(spark):
     assert simhash.without_near_duplicates(docs.limit(0)).count() == 0
 
 
+# -- similar sets of shingles ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block, common", [(1024, 1 << 18), (3, 20)])
+def test_stage_links_all_similar_texts(spark, monkeypatch, block, common):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(overlaps, "BLOCK", block)  # small blocks meet pairwise
+    monkeypatch.setattr(overlaps, "COMMON", common)  # an order that knows little loses nothing
+    rng = random.Random(3)
+    seeds = [[f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 14, 60, 130]))] for _ in range(25)]
+    texts = []
+    for k, seed in enumerate(seeds):
+        # the first is a large group of near copies around the limit
+        for _ in range(60 if k == 0 else 8):
+            w = list(seed)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(w if rng.random() < 0.8 else w[: rng.randrange(len(w) * 3 // 4, len(w) + 1)]))
+    texts += ["", None, " ", "one two", "ONE  two", "one two three"]
+    rng.shuffle(texts)
+    sets = []
+    for text in texts:
+        w = lower_ascii(text or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or (a & b and len(a & b) / len(a | b) >= 0.8)]
+    label = groups_of(len(texts), links)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = cp.drop_near_duplicates(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    assert cp.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 # -- mixing ---------------------------------------------------------------------------------
 
 
