@@ -59,16 +59,22 @@ class _Numbers(dict):
 class Encoder:
     """Ids of texts by the tokenizers library; each unit is encoded once and its ids are kept.
 
-    The ids of all kept units lie in `flat`; unit i has `length[i]` from `start[i]` on.
+    The ids of all kept units lie in `flat`; unit i has `length[i]` from `start[i]` on. With
+    `literal` the added tokens of the file are text like any other; else a text that has the
+    content of one is encoded whole, since an added token need not end where a unit does.
     """
 
-    def __init__(self, file: str, by_unit: bool):
+    def __init__(self, file: str, by_unit: bool, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.by_unit = by_unit
+        self.tokenizer.encode_special_tokens = literal
+        # the library takes added tokens out of a text, special ones unless literal
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (literal and t.special)]
+        self.whole = re.compile("|".join(re.escape(t.content) for t in added), re.IGNORECASE).search if added else lambda text: None
+        # what a normalizer changes before it looks for a token cannot be searched for
+        self.by_unit = by_unit and not (self.tokenizer.normalizer is not None and any(t.normalized for t in added))
         # bytes of each id: a character of a byte-level vocabulary stands for one byte
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, k in self.tokenizer.get_vocab().items():
@@ -77,10 +83,10 @@ class Encoder:
 
     @classmethod
     def of(cls, file: str, by_unit: bool) -> "Encoder":
-        """One per worker and file: reading the vocabulary takes longer than a small batch."""
+        """One per worker and file, with added tokens: reading the vocabulary takes longer than a small batch."""
         key = (file, by_unit)
         if key not in _encoders:
-            _encoders[key] = cls(file, by_unit)
+            _encoders[key] = cls(file, by_unit, literal=False)
         return _encoders[key]
 
     def kind(self, end_id: int) -> type:
@@ -116,7 +122,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [k for k, text in enumerate(texts) if self.by_unit and not _OTHER_SPACE(text)]
+        plain = [k for k, text in enumerate(texts) if self.by_unit and not _OTHER_SPACE(text) and not self.whole(text)]
         others = sorted(set(range(len(texts))).difference(plain))
         if others:
             for k, e in zip(others, self.tokenizer.encode_batch_fast([texts[k] for k in others], add_special_tokens=False)):

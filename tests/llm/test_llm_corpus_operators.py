@@ -307,6 +307,23 @@ def test_units_do_not_change_ids():
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_file())
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rng = random.Random(2)
+    pieces = ["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "a", " word", "\t", ".", "é"]
+    texts = ODD + ["a <|endoftext|> b", "x<|endoftext|>y", "<|ENDOFTEXT|>"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    encoder = tokens.Encoder.of(tokenizer_file(), True)
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    docs = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    for r in tokens.token_table(docs, tokenizer_file()).collect():
+        ids = plain.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_cache_starts_over(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_UNITS", 3)
     encoder = tokens.Encoder(tokenizer_file(), True)
