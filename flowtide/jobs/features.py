@@ -197,13 +197,16 @@ def k_clusters(rows: DataFrame, k: int, method: str = "mean", metric: str = "euc
     """Rows with their cluster: mean or median centres, any of METRICS, NULL values left out.
 
     Adds the columns of `kmeans`; `within_cost` is the sum of distances to the own centre. Every
-    run starts from k rows with the least hashes, and goes on until the cost stops falling. The
-    driver holds k centres, never rows. A cluster that loses all rows keeps its centre.
+    run starts from k different vectors with the least hashes (all of them where there are fewer),
+    and goes on until the cost stops falling. The driver holds k centres, never rows. A cluster
+    that loses all rows keeps its centre.
     """
     best = None
     for run in range(restarts):
-        order = F.xxhash64(F.lit(seed + run), F.to_json(F.struct(F.col(features).alias("f"))))
-        centres = [list(r[0]) for r in rows.filter(F.col(features).isNotNull()).select(F.col(features), order.alias("_o")).orderBy("_o").limit(k).collect()]
+        order = F.xxhash64(F.lit(seed + run), F.to_json(F.struct(F.transform(features, lambda v: v + F.lit(0.0)).alias("f"))))  # -0.0 is 0.0
+        hashed = rows.filter(F.col(features).isNotNull()).select(F.col(features).alias("_f"), order.alias("_o"))
+        # copies of a row have one hash; as centres they would leave clusters without rows
+        centres = [list(r[0]) for r in hashed.groupBy("_o").agg(F.first("_f").alias("_f")).orderBy("_o").limit(k).select("_f").collect()]
         cost = float("inf")
         for step in range(1, max_iter + 1):
             near = _assigned(rows, centres, metric, features)

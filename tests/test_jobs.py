@@ -237,3 +237,15 @@ def test_clusters_with_missing_values_and_medians(spark):
         assert all(r.converged and r.within_cost > 0 for r in found)
     with pytest.raises(RuntimeError):
         FE.k_clusters(df, 3, max_iter=1)
+
+
+def test_clusters_of_copies_start_apart(spark):
+    points = [[0.0, 0.0], [0.0, 9.0], [9.0, 0.0], [9.0, 9.0]]
+    rows = [(i, points[0 if i < 90 else i % 4]) for i in range(100)] + [(100, [-0.0, 0.0])]
+    df = spark.createDataFrame(rows, "i int, features array<double>")
+    for seed in range(1, 4):
+        found = FE.k_clusters(df, 4, "median", "cityblock", seed=seed).collect()
+        assert len(found) == 101 and len({r.cluster for r in found}) == 4
+        assert all(r.within_cost == 0 and r.converged for r in found)
+    # fewer different vectors than clusters: one cluster for each
+    assert len({r.cluster for r in FE.k_clusters(df, 6, "median", "cityblock").collect()}) == 4
