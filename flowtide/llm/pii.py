@@ -4,13 +4,16 @@ Each value that passes its check (a card's Luhn digit, a calendar date, an IBAN'
 address's four bytes, ...) is mapped by a keyed Feistel permutation of all valid values of its
 kind and length, and written in the format in which it stood. Equal values get equal pseudonyms
 in every document, whatever their punctuation; different values never meet in one. With the key
-the permutation can be undone.
+the permutation can be undone: where a pseudonym would be read otherwise than its value, as the
+start of a longer number that passes its check, it is permuted again. A date after the 12th of a
+month stays one, so that the order of day and month can be told.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
 from hashlib import blake2b
@@ -24,6 +27,8 @@ from flowtide.llm.textbytes import text_bytes
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
+#: days up to the 12th of a month, which may be read as a month, and later ones
+_EARLY, _LATE = ([d for d in range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1) if (date.fromordinal(d).day > 12) == late] for late in (False, True))
 
 KINDS = ["card", "iban", "ssn", "ip", "phone", "date", "email"]
 _RESULT = f"struct<text:string,{','.join(f'n_{k}:bigint' for k in KINDS)}>"
@@ -146,23 +151,27 @@ class Pseudonymiser:
         digits = re.sub(r"\D", "", number)
         if not 7 <= len(digits) <= 12:
             return None
-        return m[0][: m.start("number") - m.start()] + _refill(number, self._digits("phone", digits), str.isdigit)
+        at = m.start("number") - m.start()
+        return m[0][:at] + _refill(number, self._digits("phone", digits), str.isdigit)
 
     def date(self, m: re.Match) -> str | None:
         part = m["sep"] or m["sep2"]
-        fields = m[0].split(part)
-        year_first = m["sep"] is not None
-        y, mo, d = (int(x) for x in (fields if year_first else reversed(fields)))
-        try:
-            day = date(y, mo, d)
-        except ValueError:
-            return None
-        if not FIRST_DAY <= day <= LAST_DAY:
-            return None
-        days = self._permute("date", (day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1)
-        new = date.fromordinal(FIRST_DAY.toordinal() + days)
-        out = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"]
-        return part.join(out if year_first else reversed(out))
+        fields = [int(x) for x in m[0].split(part)]
+        # year, month and day among the fields; day before month where both can be
+        for order in [(0, 1, 2)] if m["sep"] else [(2, 1, 0), (2, 0, 1)]:
+            try:
+                day = date(*(fields[k] for k in order))
+            except ValueError:
+                continue
+            if not FIRST_DAY <= day <= LAST_DAY:
+                continue
+            days = _LATE if day.day > 12 else _EARLY
+            new = date.fromordinal(days[self._permute("date", bisect_left(days, day.toordinal()), len(days))])
+            out = [""] * 3
+            for k, x in zip(order, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")):
+                out[k] = x
+            return part.join(out)
+        return None
 
     def email(self, m: re.Match) -> str | None:
         local, domain = m[0].split("@")
@@ -186,31 +195,67 @@ class Pseudonymiser:
                 out.append(c)
         return "".join(reversed(out)) + "@" + domain
 
+    def _first(self, text: str, start: int) -> tuple[str, re.Match, str, bool] | None:
+        """Kind, match and replacement of the first value from `start` on, and whether a match that fails reaches into it."""
+        failed_end = 0
+        while found := _FIND.search(text, start):
+            start = found.start()
+            for kind, m in _readings(text, start):
+                new = getattr(self, kind)(m)
+                if new is not None:
+                    return kind, m, new, failed_end > start
+                failed_end = max(failed_end, m.end())
+            start += 1
+        return None
+
     def replace(self, text: str) -> tuple[str, list[int]]:
         counts = dict.fromkeys(KINDS, 0)
-
-        def one(m: re.Match) -> str:
-            kind = next(k for k in KINDS if m[k] is not None)
-            new = getattr(self, kind)(m)
-            if new is None:
-                return m[0]
+        out, done = [], 0
+        while found := self._first(text, done):
+            kind, m, new, doubtful = found
+            # undoing must find the same value here
+            while doubtful and len(new) == len(m[0]):
+                changed = text[: m.start()] + new + text[m.end() :]
+                again = self._first(changed, done)
+                if again[0] == kind and again[1].span() == m.span():
+                    break
+                new = getattr(self, kind)(m.re.fullmatch(changed, m.start(), m.end()))
             counts[kind] += 1
-            return new
-
-        return _FIND.sub(one, text), [counts[k] for k in KINDS]
-
-
-#: fixed values: the format of each kind, tried in this order at each place
-_FORMATS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
-    "date": r"(?<![\d./-])(?:\d{4}(?P<sep>[-/.])\d{2}(?P=sep)\d{2}|\d{2}(?P<sep2>[-/.])\d{2}(?P=sep2)\d{4})(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{1,3}[ .-]?|(?<![\d(])(?=\())(?P<number>\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4})(?!\d)",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d])",
-}
-_FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _FORMATS.items()))
+            out += [text[done : m.start()], new]
+            done = m.end()
+        return "".join([*out, text[done:]]), [counts[k] for k in KINDS]
+
+
+#: fixed values: the formats of each kind, tried in this order at each place
+_FORMATS = [
+    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"),
+    ("date", r"(?<![\d./-])(?:\d{4}(?P<sep>[-/.])\d{2}(?P=sep)\d{2}|\d{2}(?P<sep2>[-/.])\d{2}(?P=sep2)\d{4})(?!\d)"),
+    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("phone", r"(?:\+\d{1,3}[ .-]?|(?<![\d(])(?=\())(?P<number>\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4})(?!\d)"),
+    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d])"),
+    ("phone", r"\+\d{1,3}[ .-](?P<number>\d{1,4}(?:[ .-]\d{2,4}){2,5})(?!\d)"),
+    ("phone", r"(?<![\w.+-])(?P<number>\d{3}(?P<psep>[ .-])\d{3}(?P=psep)\d{4})(?![\w-]|\.\d)"),
+]
+_READ = [(kind, re.compile(pattern)) for kind, pattern in _FORMATS]
+# one pattern for all: names are per format
+_FIND = re.compile("|".join(re.sub(r"\(\?P(<|=)(\w+)", rf"(?P\g<1>\g<2>_{k}", pattern) for k, (_, pattern) in enumerate(_FORMATS)))
+
+
+def _readings(text: str, start: int) -> Iterator[tuple[str, re.Match]]:
+    """All formats that match from `start` on; cards, IBANs and phones also without their last groups."""
+    for kind, pattern in _READ:
+        m = pattern.match(text, start)
+        if m is None:
+            continue
+        yield kind, m
+        if kind in ("card", "iban", "phone"):
+            for end in range(m.end() - 1, start, -1):
+                if text[end] in " .-" and (part := pattern.fullmatch(text, start, end)):
+                    yield kind, part
+
+
 _SPARKS = np.zeros(256, bool)
 _SPARKS[[*range(0x30, 0x3A), 0x40]] = True
 
