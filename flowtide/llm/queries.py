@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtide.llm import decontam, langid, mixing, pii, rules, sampling, simhash, suffixes, tokens, toxicity, urls
+from flowtide.llm import decontam, fourier, langid, mixing, pii, rules, sampling, simhash, suffixes, tokens, toxicity, urls, variants
 from flowtide.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,57 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_table(docs, tokenizer_file())
+
+
+# crc32 byte by byte over a table; pairs one edit apart share what is left of them without a code point
+VARIANTS_SQL = """
+WITH RECURSIVE lowered AS (
+  SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+runs AS (
+  SELECT i, run, count(*) AS n
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS i, unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]{7,}')) AS run FROM lowered) r
+  GROUP BY 1, 2),
+crc_table AS (
+  SELECT list(c ORDER BY k) AS t
+  FROM (SELECT k, list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, k) AS c FROM range(256) r(k)) x),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_transform(range(1, 2 * octet_length(encode(i || ':' || run)), 2), lambda b: ('0x' || substr(hex(encode(i || ':' || run)), b, 2))::BIGINT),
+         lambda a, b: xor(a // 256, t[(xor(a, b) % 256) + 1]), 4294967295)) AS h
+  FROM runs, crc_table),
+slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run) + 2)::INT) ELSE run END AS word, n FROM hashed),
+vocab AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, k, left(word, k::INT) || substr(word, (k + 2)::INT) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS k FROM vocab) v),
+pairs AS (
+  SELECT DISTINCT c.word, c.n, v.word AS near, v.n AS near_n FROM cut c JOIN vocab v ON c.rest = v.word
+  UNION ALL
+  SELECT DISTINCT v.word, v.n, c.word AS near, c.n AS near_n FROM cut c JOIN vocab v ON c.rest = v.word
+  UNION ALL
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word),
+nears AS (SELECT word, count(*) AS n_near FROM pairs GROUP BY word),
+forms AS (
+  SELECT word, near AS form, near_n AS form_n
+  FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM pairs) p WHERE place = 1 AND near_n >= 10 * n),
+roots AS (
+  SELECT word, form AS root, 1 AS step FROM forms
+  UNION ALL
+  SELECT r.word, f.form AS root, r.step + 1 AS step FROM roots r JOIN forms f ON r.root = f.word)
+SELECT v.word, v.n, f.form, f.form_n, coalesce(r.root, v.word) AS root, coalesce(e.n_near, 0)::BIGINT AS n_near
+FROM vocab v LEFT JOIN forms f USING (word) LEFT JOIN nears e USING (word)
+LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM roots GROUP BY word) r USING (word)
+"""
+
+
+@query("op12_spelling_variants", VARIANTS_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = variants.variants(variants.vocabulary(variants.slipped_runs(docs)))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_kernel_quality")
+def op13_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fourier.held_out(F.col("doc_id"))
+    found = fourier.scored(docs, table(spark, sf_dir, "labels"), only=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
