@@ -19,6 +19,8 @@ from flowtide.llm.textbytes import Words, class_table, words
 
 #: documents of each language that a model is fitted to, about
 SAMPLE = 1500
+#: languages that a model can tell apart, at most: its table has a column for each
+LANGUAGES = 64
 #: what a change of language between two words costs, in log units
 SWITCH = 6.0
 #: share of a language's words in a script, at least, for the script to be one of its own
@@ -210,11 +212,18 @@ def fit(table: pa.Table | None) -> LanguageModel:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", only: Column | None = None, sample: int = SAMPLE) -> LanguageModel:
     """Fit a model to documents with a language and a text, about `sample` of each language,
-    by hashes of their ids. `only` limits them further."""
+    by hashes of their ids and languages. `only` limits them further.
+
+    Rows of one language that share an id count as one, with one of their texts. Of more than
+    LANGUAGES different languages the commonest are learned.
+    """
     rows = docs.filter(only) if only is not None else docs
-    keys = rows.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(lang_col).alias("lang"))
-    texts = sampled_texts(bounded_sample(keys, "lang", "key", sample), docs, "key", id_col, text_col)
-    return fitted(texts.filter("text IS NOT NULL").select("key", "lang", "text"), "key", fit)
+    rows = rows.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.select(F.struct(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).alias("key"), F.col(text_col).alias("text"))
+    keys = rows.groupBy("key").agg(F.lit(1).alias("one")).select("key", "key.lang")
+    common = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    few = bounded_sample(keys.join(common, "lang", "left_semi"), "lang", "key", sample)
+    return fitted(sampled_texts(few, rows, "key", "key", "text").filter("text IS NOT NULL"), "id", fit, F.col("key.id").alias("id"), "lang", "text")
 
 
 def language(model: LanguageModel, docs: DataFrame, text: Column, penalty: float = SWITCH) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowtide.llm.common import fresh_name, stored
+from flowtide.llm.common import fresh_name, numbered, stored
 
 #: slices of a source's order; only the one in which its words are reached is ranked row by row
 SLICES = 4_096
@@ -78,18 +78,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The struct gets underscores before its name if `docs` has a column `mix`. `relative_weight`
     names a column that makes documents of a source likelier by that factor (null counts as 1);
     expected copies stop at MOST. Null texts have no words and are never taken; null is a source
-    of its own; rows of a source that share an id share their random number and are taken or left
-    together; an empty table gives an empty one. The last document of a source is the one not yet
-    taken whose size comes nearest to the words still missing, if taking it comes nearer to the
-    target than not.
+    of its own; rows of a source that share an id share their random number and are sampled or
+    left together; an empty table gives an empty one. The last document of a source is the one
+    row not yet taken whose size comes nearest to the words still missing (ties: by order, id,
+    then text), if taking it comes nearer to the target than not.
 
     Sizes are counted once into a narrow table in the shared folder. Sums over slices of each
-    source's order find the slice in which its words are reached; only documents of that slice
-    are ranked row by row, so no task sees all of a source.
+    source's order find the slice in which its words are reached; only ids of that slice are
+    ranked one by one, so no task sees all of a source, nor all rows of an id.
     """
+    given = docs
+    docs, u = numbered(docs, id_col, text_col)
     name, f = fresh_name(docs, "mix"), fresh_name(docs, "_f")
     relative = F.coalesce(F.col(relative_weight).cast("double"), F.lit(1.0)) if relative_weight else F.lit(1.0)
-    facts = docs.withColumn(f, F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), relative.alias("relative")))
+    facts = docs.withColumn(f, F.struct(F.col(u).alias("u"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), relative.alias("relative")))
     narrow = stored(facts.select(f"{f}.*"), "sizes")
     plan = stored(_borders(narrow, source_targets(narrow, "source", "size", weights, share), seed), "borders")
     p = fresh_name(docs, "_p")
@@ -97,10 +99,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     matched = facts.join(plan, F.col(f"{f}.source").eqNullSafe(F.col(f"{p}.source")), "left")
     size, whole, key = (_drawn(f"{f}.", f"{p}.", seed)[k] for k in ("size", "whole", "key"))
     here = F.struct(key.alias("key"), F.col(f"{f}.id").alias("id"))
-    extra = (key.isNotNull() & (here <= F.col(f"{p}.last"))) | here.eqNullSafe(F.col(f"{p}.filler"))
+    extra = (key.isNotNull() & (here <= F.col(f"{p}.last"))) | (F.col(f"{f}.u") == F.col(f"{p}.filler"))
     copies = whole + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
     mix = F.struct(size.alias("size"), F.col(f"{p}.source_size").alias("source_size"), F.col(f"{p}.target").alias("target"), copies.cast("int").alias("copies"), (copies * size).cast("long").alias("taken"))
-    return matched.withColumn(name, mix).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+    return matched.withColumn(name, mix).select(*[F.col(f"`{c}`") for c in given.columns], F.col(name).alias(fresh_name(given, "mix")))
 
 
 def _drawn(row: str, source: str, seed: str) -> dict[str, Column]:
@@ -113,11 +115,11 @@ def _drawn(row: str, source: str, seed: str) -> dict[str, Column]:
 
 
 def _borders(narrow: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """Per source: `source_size`, `target`, `last` (key and id of the last document in the order taken) and `filler`."""
+    """Per source: `source_size`, `target`, `last` (key and id of the last document in the order taken) and `filler` (the row number of one more)."""
     t = targets.select(F.struct("source", "source_size", "target").alias("t"))
     parts = _drawn("", "t.", seed)
     drawn = narrow.join(t, F.col("source").eqNullSafe(F.col("t.source"))).select(
-        "t", F.col("id"), F.col("size"), parts["whole"].alias("whole"), parts["key"].alias("key")
+        "t", F.col("u"), F.col("id"), F.col("size"), parts["whole"].alias("whole"), parts["key"].alias("key")
     )
     sliced = drawn.withColumn("slice", F.floor(F.col("key") / (1 + F.col("key")) * SLICES).cast("long"))
     sums = sliced.groupBy("t", "slice").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
@@ -129,10 +131,12 @@ def _borders(narrow: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
         F.max("upto").alias("all_words"),
         F.min(F.when(over, F.struct("slice", (F.col("upto") - F.col("words")).alias("before")))).alias("cut"),
     )
-    # the slice in which the words are reached, row by row; rows with the same key and id count together
+    # the slice in which the words are reached, id by id; rows with the same key and id count together
     order = Window.partitionBy("t").orderBy("key", "id")
     inside = (
         sliced.join(cut.withColumn("slice", F.col("cut.slice")), ["t", "slice"])
+        .groupBy("t", "cut", "missing", "key", "id")
+        .agg(F.sum("size").alias("size"))
         .withColumn("upto", F.col("cut.before") + F.sum("size").over(order))
         .filter(F.col("upto") <= F.col("missing"))
         .groupBy("t")
@@ -150,13 +154,13 @@ def _borders(narrow: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
     # documents of a source meet its row in several tasks
     salted = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     fillers = (
-        sliced.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        sliced.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
         .join(salted, ["t", "salt"])
         .filter(F.col("key").isNotNull() & (here > F.col("last")) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
         .groupBy("t")
-        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), here.alias("row"))).alias("best"))
+        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), here.alias("row"), F.col("u").alias("u"))).alias("best"))
     )
-    return ends.join(fillers, "t", "left").select("t.source", "t.source_size", "t.target", "last", F.col("best.row").alias("filler"))
+    return ends.join(fillers, "t", "left").select("t.source", "t.source_size", "t.target", "last", F.col("best.u").alias("filler"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtide.llm import decontam, fourier, langid, mixing, pii, rules, sampling, simhash, suffixes, tokens, toxicity, urls, variants
+from flowtide.llm import decontam, fourier, langid, mixing, phrases, pii, rules, sampling, simhash, suffixes, tokens, toxicity, urls, variants
 from flowtide.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,6 +237,48 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(docs, tokenizer_file())
 
 
+# words in pieces, counts of one to three of them, the lowest-scoring cut, and what longer candidates take away
+PHRASES_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+  FROM documents),
+f1 AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(w) AS w FROM pieces) x GROUP BY 1, 2),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY 1),
+f2 AS (
+  SELECT lang, w1, w2, count(*) AS f
+  FROM (SELECT lang, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM pieces) x) y GROUP BY 1, 2, 3),
+f3 AS (
+  SELECT lang, w1, w2, w3, count(*) AS f
+  FROM (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM pieces) x) y GROUP BY 1, 2, 3, 4),
+c2 AS (SELECT * FROM f2 WHERE f >= 10),
+c3 AS (SELECT * FROM f3 WHERE f >= 10),
+cuts AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM c2 c JOIN f1 x ON c.lang = x.lang AND c.w1 = x.w JOIN f1 y ON c.lang = y.lang AND c.w2 = y.w
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 1, x.f, y.f
+  FROM c3 c JOIN f1 x ON c.lang = x.lang AND c.w1 = x.w JOIN f2 y ON c.lang = y.lang AND c.w2 = y.w1 AND c.w3 = y.w2
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 2, x.f, y.f
+  FROM c3 c JOIN f2 x ON c.lang = x.lang AND c.w1 = x.w1 AND c.w2 = x.w2 JOIN f1 y ON c.lang = y.lang AND c.w3 = y.w),
+lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place
+                 FROM (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts) s) t WHERE place = 1),
+around AS (
+  SELECT lang, phrase, max(f) AS longer
+  FROM (SELECT lang, w1 || ' ' || w2 AS phrase, f FROM c3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM c3) x GROUP BY 1, 2),
+ranked AS (
+  SELECT p.*, row_number() OVER (PARTITION BY p.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest p LEFT JOIN around o USING (lang, phrase) WHERE o.longer IS NULL OR 100 * o.longer < 50 * p.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 # crc32 byte by byte over a table; pairs one edit apart share what is left of them without a code point
 VARIANTS_SQL = """
 WITH RECURSIVE lowered AS (

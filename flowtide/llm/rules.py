@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.llm.common import fresh_name
-from flowtide.llm.sampling import bounded_sample, fitted
+from flowtide.llm.sampling import bounded_sample, fitted, one_label
 from flowtide.llm.textbytes import NOT_WHITE, Words, class_table, mix, words
 
 #: labelled rows of each class that rules are learned from, about
@@ -254,14 +254,17 @@ def learn(table: pa.Table | None) -> DecisionList:
 def train(counted: DataFrame, labels: DataFrame, statistics: str, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DecisionList:
     """Learn from the labelled rows of `counted`, which has a struct column `statistics`.
 
-    About `sample` rows of each class (label 1 is good, 0 bad), by hashes of their ids; other
-    labels, and labels without a row, are left out. Without bad rows the list is empty and drops
+    About `sample` rows of each class (label 1 is good, 0 bad), by hashes of their ids, one row for
+    each id, whose labels count as one, the commoner; other labels, and labels without a row, are
+    left out. A list has MOST_RULES rules of MOST_TESTS tests at most; bad rows that more would
+    cover are kept. Without bad rows the list is empty and drops
     nothing.
     """
-    known = labels.select(F.col(id_col).alias("_key"), (F.col(label_col) == 0).alias("bad")).filter(F.col("_key").isNotNull() & F.col(label_col).isin(0, 1))
+    known = one_label(labels, id_col, label_col).select(F.col("key").alias("_key"), (F.col("label") == 0).cast("long").alias("bad"))
     features = [F.expr(sql.format(s=f"`{statistics}`")).cast("double").alias(name) for name, sql in FEATURES.items()]
-    rows = counted.join(known, F.col(id_col) == F.col("_key")).select(F.col("_key").alias("key"), F.pmod(F.xxhash64("_key", F.lit(3)), F.lit(3)).cast("long").alias("part"), F.col("bad").cast("long").alias("bad"), *features)
-    return fitted(bounded_sample(rows, "bad", "key", sample), "key", learn)
+    rows = counted.join(known, F.col(id_col) == F.col("_key")).select(F.col("_key").alias("key"), F.pmod(F.xxhash64("_key", F.lit(3)), F.lit(3)).cast("long").alias("part"), "bad", *features)
+    one = rows.groupBy("key", "part", "bad").agg(F.min(F.struct(*FEATURES)).alias("f")).select("key", "part", "bad", "f.*")
+    return fitted(bounded_sample(one, "bad", "key", sample), "key", learn)
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DecisionList]:

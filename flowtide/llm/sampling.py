@@ -23,15 +23,22 @@ def bounded_sample(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     return rows.join(counts, F.col(by).eqNullSafe(F.col("_by"))).filter(share * F.col("_n") < n).drop("_by", "_n")
 
 
+def one_label(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """`key`, `label` (0 or 1), one row for each id: its commoner label. Null ids, other labels and ties are left out."""
+    some = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).filter("key IS NOT NULL AND label IN (0, 1)")
+    return some.groupBy("key").agg(F.avg("label").alias("label")).filter("label <> 0.5").select("key", F.round("label").cast("int").alias("label"))
+
+
 def sampled_texts(sample: DataFrame, docs: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
-    """`sample` (few rows, with a column `key`) and the text of each."""
+    """`sample` (few rows, with a column `key` of different values) and a text of each: of several the one with the least hash."""
     few = stored(sample, "sample")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return texts.join(few, F.col("_id") == F.col(key)).drop("_id")
+    met = texts.join(few, F.col("_id") == F.col(key)).drop("_id")
+    return met.groupBy(*few.columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def fitted(sample: DataFrame, order: str, fit: Callable[[pa.Table], Any]) -> Any:
-    """What `fit` makes of a bounded sample, in one task, in an order that does not vary.
+def fitted(sample: DataFrame, order: str, fit: Callable[[pa.Table], Any], *columns: str | Column) -> Any:
+    """What `fit` makes of a bounded sample (its `columns`, or all), in one task, in an order that does not vary.
 
     Only the sample's rows go to that task; what they are chosen from is read by many.
     """
@@ -41,7 +48,7 @@ def fitted(sample: DataFrame, order: str, fit: Callable[[pa.Table], Any]) -> Any
         table = pa.Table.from_batches(held) if held else None
         yield pa.record_batch([pa.array([pickle.dumps(fit(table.sort_by(order) if table else None))], pa.binary())], names=["model"])
 
-    rows = sample.repartition(1).mapInArrow(task, "model binary").collect()
+    rows = sample.select(*columns or ("*",)).repartition(1).mapInArrow(task, "model binary").collect()
     return pickle.loads(rows[0][0]) if rows else fit(None)
 
 

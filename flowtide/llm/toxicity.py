@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowtide.llm.sampling import bounded_sample, fitted, sampled_texts
+from flowtide.llm.sampling import bounded_sample, fitted, one_label, sampled_texts
 from flowtide.llm.textbytes import ALPHANUMERIC, Words, class_table, segments_hash, words
 
 #: labelled documents of each class that a model is fitted to, about
@@ -216,10 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit a model to the labelled documents, about `sample` of each class, by hashes of their ids.
 
     `only` limits `labels` to some rows. Labels that are neither 0 nor 1, and labels without a
-    document, are left out; a null text has no words.
+    document, are left out; an id's labels count as one, the commoner, and of its texts one is
+    taken; a null text has no words.
     """
-    rows = labels.filter(only) if only is not None else labels
-    rows = rows.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("toxic")).filter("key IS NOT NULL AND toxic IN (0, 1)")
+    rows = one_label(labels.filter(only) if only is not None else labels, id_col, label_col).withColumnRenamed("label", "toxic")
     few = bounded_sample(rows, "toxic", "key", sample)
     texts = sampled_texts(few, docs, "key", id_col, text_col).select("key", "toxic", "text")
     return fitted(texts, "key", fit)
