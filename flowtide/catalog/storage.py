@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flowtide.catalog.aggregates import _BIDIR, _BIDIR_COLUMNS, _CHANNEL_ROWS, _group, channels
 from flowtide.catalog.base import DAY, query, r6, table_query, ts
 from flowtide.catalog.scalars import _NAMES, _letters, _mac, _v4
-from flowtide.catalog.timeslots import SLOT, _divergence_cte, _entropy_cte, _CAL, _stock_sql
+from flowtide.catalog.timeslots import SLOT, _divergence_cte, _entropy_cte, _CAL, _flood_sql, _stock_sql
 from flowtide.metrics import entropy as EN
 from flowtide.operators import aggregate as AG, profiles
 from flowtide.session import shared_folder
 from flowtide.sources import files
 from flowtide.sources.derived import flows_from_events, load_flows
-from flowtide.streaming import slots as SS, stateful
+from flowtide.streaming import series, slots as SS, stateful
 
 _KEPT = ["flow_id", "ident", "first_ts", "last_ts", "src_addr", "dst_addr", "src_port", "dst_port", "prot", "packets", "bytes"]
 _KEPT_SQL = (
@@ -211,13 +211,6 @@ def _(spark, table_dir):
     return late.groupBy("slot").agg(F.sum("late_flows").alias("late_flows"))
 
 
-def _run_stateful(spark, table_dir):
-    folder = shared_folder(spark, "stream-state")
-    stateful.run_stateful(stream_flows(spark, table_dir), "src", DAY, 900, folder).awaitTermination()
-    stateful.flush_stateful(load_flows(spark, table_dir), "src", DAY, folder)
-    return folder
-
-
 @table_query(
     "stream_divergence",
     f"""WITH {_CAL}, {_divergence_cte('src', 'src_addr')} SELECT {SLOT}, k AS common_keys, {r6('kl')} AS kl,
@@ -225,14 +218,29 @@ def _run_stateful(spark, table_dir):
     flows_sql=True,
 )
 def _(spark, table_dir):
-    folder = _run_stateful(spark, table_dir)
+    folder = shared_folder(spark, "stream-divergence")
+    stateful.run_divergences(stream_flows(spark, table_dir), "src", DAY, 900, folder).awaitTermination()
+    stateful.flush_divergences(load_flows(spark, table_dir), "src", DAY, folder)
     return spark.read.parquet(f"{folder}/divergences").select("slot", "common_keys", "kl", "renyi")
 
 
-@table_query("stream_stock_market", _stock_sql(40, 800, 70), flows_sql=True)
-def _(spark, table_dir):
-    folder = _run_stateful(spark, table_dir)
-    return spark.read.parquet(f"{folder}/stock_market").drop(stateful.SLOT_ID)
+for _name, _sql, _kw in (
+    ("stream_stock_market", _stock_sql(40, 800, 70), {}),
+    ("stream_stock_market_sensitive_alarms", _stock_sql(-100, 0.9, 50), dict(momentum_threshold=-100.0, roc_threshold=0.9, rsi_threshold=50.0)),
+):
+
+    @table_query(_name, _sql, flows_sql=True)
+    def _(spark, table_dir, kw=_kw):
+        folder = shared_folder(spark, "stream-stock")
+        return series.run_stock_market(stream_flows(spark, table_dir), load_flows(spark, table_dir), DAY, 900, folder, **kw)
+
+
+for _name, _threshold in (("stream_syn_flood", 0.3), ("stream_syn_flood_alarm_streaks", 1.9)):
+
+    @table_query(_name, _flood_sql(_threshold), flows_sql=True)
+    def _(spark, table_dir, threshold=_threshold):
+        folder = shared_folder(spark, "stream-flood")
+        return series.run_syn_flood(stream_flows(spark, table_dir), load_flows(spark, table_dir), DAY, 900, folder, threshold=threshold)
 
 
 @table_query(

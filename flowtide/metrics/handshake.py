@@ -171,18 +171,22 @@ def handshake_counts(flows: DataFrame, width: str, delay: int = DELAY) -> DataFr
 UNUSUAL = ("syn_no_answer", "syn_server_reset", "syn_synack", "syn_synack_client_reset")
 
 
+def with_entropy(counts: DataFrame) -> DataFrame:
+    """The four unusual-handshake counts of each slot, their total and their entropy."""
+    total = sum((F.col(c) for c in UNUSUAL), F.lit(0).cast("bigint"))
+    slots = counts.select("slot", *UNUSUAL, total.alias("unusual_total"))
+    n = F.col("unusual_total").cast("double")
+    terms = [F.when(F.col(c) > 0, F.col(c) / n * F.log2(n / F.col(c))).otherwise(0.0) for c in UNUSUAL]
+    return slots.withColumn("entropy", F.when(F.col("unusual_total") > 0, sum(terms[1:], terms[0])).otherwise(0.0))
+
+
 def syn_flood_of(counts: DataFrame, width: str, threshold: float = SYN_FLOOD_THRESHOLD, violations: int = MAX_VIOLATIONS) -> DataFrame:
     """Entropy of the four unusual-handshake counts and the alarm on every third low slot.
 
     A slot violates when the entropy is at or below the threshold; the alarm comes after
     `violations` violating slots in a row and the count then starts again.
     """
-    total = sum((F.col(c) for c in UNUSUAL), F.lit(0).cast("bigint"))
-    n = F.col("unusual_total").cast("double")
-    terms = [F.when(F.col(c) > 0, F.col(c) / n * F.log2(n / F.col(c))).otherwise(0.0) for c in UNUSUAL]
-    h = F.when(F.col("unusual_total") > 0, sum(terms[1:], terms[0])).otherwise(0.0)
-    slots = counts.select("slot", *UNUSUAL, total.alias("unusual_total"))
-    slots = keep(slots.withColumn("entropy", h))
+    slots = keep(with_entropy(counts))
     low = F.col("entropy") <= threshold
     run = slot_streak(slots, low, "run", width)
     return run.withColumn(

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-from contextvars import ContextVar
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.rates import epoch_s
@@ -40,38 +36,14 @@ def with_slot(flows: DataFrame, width: str) -> DataFrame:
     return flows if "slot" in flows.columns else flows.withColumn("slot", slot(width))
 
 
-_KEPT: ContextVar[list[DataFrame] | None] = ContextVar("kept slot tables", default=None)
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Hold a per-slot table that a plan refers to more than once.
 
     One row per slot, so it is small whatever the flows are. Without this every reference
-    would read the flows again. Inside `kept_tables` it is persisted until the block's owner
-    releases it; elsewhere, where the result is computed after the caller has returned, it is
-    written to the shared folder, so that nothing stays on the executors.
+    would read the flows again. It is written to the shared folder, so that nothing stays on
+    the executors; a metric run deletes it when it is released.
     """
-    held = _KEPT.get()
-    if held is None:
-        return hold(df, "slots")
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    held.append(df)
-    return df
-
-
-@contextmanager
-def kept_tables():
-    """Collects what `keep` persists inside the block, for whoever has to release it."""
-    token = _KEPT.set([])
-    try:
-        yield _KEPT.get()
-    finally:
-        _KEPT.reset(token)
-
-
-def release(tables: list[DataFrame]) -> None:
-    for df in reversed(tables):
-        df.unpersist()
+    return hold(df, "slots")
 
 
 def slot_order(df: DataFrame) -> DataFrame:

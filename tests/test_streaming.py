@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import at, make_flows
-from flowtide.metrics import divergence, momentum
+from flowtide.metrics import divergence, handshake, momentum
 from flowtide.operators import predicates as P
-from flowtide.streaming import slots as SS, stateful
+from flowtide.streaming import series, slots as SS, stateful
 
 WIDTH = "1 minute"
 
@@ -74,27 +74,61 @@ def test_late_flows_drop(spark, tmp_path):
     assert got == {at(0): 1, at(600): 1, at(660): 1, at(720): 1}
 
 
-def test_stateful_metrics_equal_batch(spark, tmp_path):
+def landed_in_parts(spark, tmp_path):
     rows = sorted(arrivals(3, 240, 10), key=lambda r: r["first_ts"])
     # an empty stretch in the middle
     rows = [r for r in rows if not at(240) <= r["first_ts"] < at(400)]
+    rng = random.Random(9)
+    rows = [{**r, "dst_addr": rng.randrange(4), "tcp_flags": rng.choice([2, 18, 16, 4])} for r in rows]
     land(spark, rows, str(tmp_path / "in"), 4)
     landed = spark.read.parquet(str(tmp_path / "in"))
+    return landed, SS.read_flow_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+
+
+def test_divergences_equal_batch(spark, tmp_path):
+    landed, stream = landed_in_parts(spark, tmp_path)
     out = str(tmp_path / "out")
-    stream = SS.read_flow_stream(spark, str(tmp_path / "in"), files_per_batch=1)
-    stateful.run_stateful(stream, "src", WIDTH, 60, out).awaitTermination()
-    early = spark.read.parquet(f"{out}/counters").count()
-    stateful.flush_stateful(landed, "src", WIDTH, out)
-    stateful.flush_stateful(landed, "src", WIDTH, out)  # nothing left, nothing doubled
+    stateful.run_divergences(stream, "src", WIDTH, 60, out).awaitTermination()
+    early = spark.read.parquet(f"{out}/slots").count()
+    stateful.flush_divergences(landed, "src", WIDTH, out)
+    stateful.flush_divergences(landed, "src", WIDTH, out)  # nothing left, nothing doubled
     div = divergence.divergences(landed, WIDTH, ("src",)).orderBy("slot").collect()
     got = spark.read.parquet(f"{out}/divergences").orderBy("slot").collect()
     assert [(r.slot, r.common_keys) for r in got] == [(r.slot, r.common_keys) for r in div]
     assert [(r.kl, r.renyi) for r in got] == [pytest.approx((r.kl, r.renyi)) for r in div]
-    stock = momentum.stock_market(landed, WIDTH).orderBy("slot").collect()
-    got = spark.read.parquet(f"{out}/stock_market").orderBy("slot").collect()
-    assert [(r.slot, r.packets, r.roc_run) for r in got] == [(r.slot, r.packets, r.roc_run) for r in stock]
-    assert [r.rsi for r in got] == pytest.approx([r.rsi for r in stock])
-    assert 0 < early < len(stock)
+    assert 0 < early < len(div)
+
+
+@pytest.mark.parametrize("timeout", [60, 100_000])
+def test_series_equal_batch(spark, tmp_path, timeout):
+    """Runs and indicators carried in keyed state, over several batches and the flush."""
+    landed, stream = landed_in_parts(spark, tmp_path)
+    kw = dict(momentum_threshold=-100.0, roc_threshold=0.5, rsi_threshold=50.0, violations=2)
+    stock = momentum.stock_market(landed, WIDTH, **kw).orderBy("slot").collect()
+    live = series.run_stock_market(stream, landed, WIDTH, timeout, str(tmp_path / "stock"), **kw).orderBy("slot")
+    released = spark.read.schema("slot timestamp").parquet(str(tmp_path / "stock/slots")).count()
+    assert (released > 3) == (timeout == 60) and released < len(stock)
+    for got, want in zip(live.collect(), stock, strict=True):
+        assert (got.slot, got.packets, got.roc_run, got.alarm) == (want.slot, want.packets, want.roc_run, want.alarm)
+        assert (got.momentum, got.roc, got.roc_prev, got.rsi) == pytest.approx((want.momentum, want.roc, want.roc_prev, want.rsi))
+    flood = handshake.syn_flood(landed, WIDTH, threshold=1.9, violations=2).orderBy("slot").collect()
+    live = series.run_syn_flood(stream, landed, WIDTH, timeout, str(tmp_path / "flood"), threshold=1.9, violations=2).orderBy("slot")
+    columns = [c for c in live.columns if c != "entropy"]
+    assert [[r[c] for c in columns] for r in live.collect()] == [[r[c] for c in columns] for r in flood]
+    assert {r.alarm for r in flood} == {0, 1}
+
+
+def test_a_series_starts_from_its_own_state(spark):
+    """Each key has its own run; slots at or before the last one seen are left out."""
+    fold = series.FloodStreak(threshold=1.0, violations=2)
+    counts = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in (*handshake.UNUSUAL, "unusual_total"))
+    rows = spark.sql(f"""SELECT series, TIMESTAMP '2024-03-01' + make_interval(0, 0, 0, 0, 0, minute) AS slot, {counts}, CAST(h AS DOUBLE) AS entropy
+        FROM VALUES ('a', 1, 0.5), ('a', 0, 0.5), ('a', 2, 2.0), ('a', 3, 0.1), ('b', 1, 0.5), ('b', 2, 0.5) t(series, minute, h)""")
+    got = {(r.series, r.slot.minute): (r.run, r.alarm) for r in series.fold_rows(rows, fold, {}).collect()}
+    assert got == {("a", 0): (1, 0), ("a", 1): (2, 1), ("a", 2): (0, 0), ("a", 3): (1, 0), ("b", 1): (1, 0), ("b", 2): (2, 1)}
+    last = series.fold_rows(rows.filter("series = 'a' AND minute(slot) < 2"), fold, {}).filter("minute(slot) = 1").first()
+    got = {(r.series, r.slot.minute): r.run for r in series.fold_rows(rows.filter("series = 'a'"), fold, {"a": last}).collect()}
+    assert got == {("a", 2): 0, ("a", 3): 1}
 
 
 def test_replayed_batch_writes_the_same(spark, tmp_path):
@@ -103,13 +137,29 @@ def test_replayed_batch_writes_the_same(spark, tmp_path):
     for _ in range(2):
         stateful.add_slots(counts, "src", WIDTH, str(tmp_path))
     slots = counts.select("slot").distinct().count()
-    assert spark.read.parquet(f"{tmp_path}/counters").count() == slots
+    assert spark.read.parquet(f"{tmp_path}/slots").count() == slots
     assert spark.read.parquet(f"{tmp_path}/divergences").count() == slots
     assert spark.read.parquet(f"{tmp_path}/frequencies").count() == counts.count()
     # nothing stays persisted after a batch
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
 
 
+def test_a_batch_reads_the_slot_before_and_no_older_one(spark, tmp_path):
+    flows = make_flows(spark, arrivals(6, 120, 6))
+    counts = stateful.key_counts(flows, "src", WIDTH)
+    slots = sorted(r.slot for r in counts.select("slot").distinct().collect())
+    want = {r.slot: r.common_keys for r in divergence.divergences(flows, WIDTH, ("src",)).collect()}
+    for k, slot in enumerate(slots):
+        stateful.add_slots(counts.filter(F.col("slot") == slot), "src", WIDTH, str(tmp_path))
+        if k > 1:
+            # the counts of slots two back are spoilt: whoever reads them fails
+            for part in (tmp_path / "frequencies" / f"{stateful.SLOT_ID}={slots[k - 1]:%Y%m%d%H%M%S}").parent.glob(f"*={slots[k - 2]:%Y%m%d%H%M%S}/*.parquet"):
+                part.with_name(f".{part.name}.crc").unlink(missing_ok=True)
+                part.write_bytes(b"no parquet")
+    got = {r.slot: r.common_keys for r in spark.read.parquet(f"{tmp_path}/divergences").collect()}
+    assert got == want and len(slots) > 4
+
+
 def test_capture_and_channels(spark, tmp_path):
     rows = arrivals(5, 100, 5)
     land(spark, rows, str(tmp_path / "in"), 2)
