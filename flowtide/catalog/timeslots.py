@@ -345,7 +345,19 @@ def _(flows):
     return late_flows(flows.withColumn("arrival", arrival), DAY, 900, "arrival")
 
 
-# --- metric runs --------------------------------------------------------------------
+@query(
+    "late_flows_outlying_arrivals",
+    f"""WITH a AS (SELECT slot, first_ts, CASE WHEN flow_id % 4001 = 0 THEN 4000000000000000000 + flow_id WHEN flow_id % 4001 = 1 THEN flow_id - 4000000000000000000
+                        ELSE (flow_id % 10) * 1000000 + flow_id // 10 END AS arrival FROM flows),
+        m AS (SELECT slot, max(epoch_us(first_ts) // 1000000) OVER (ORDER BY arrival) AS seen FROM a)
+        SELECT {SLOT}, count(*) AS late_flows FROM m WHERE seen - 900 >= epoch_us(slot) // 1000000 + 86400 GROUP BY slot""",
+)
+def _(flows):
+    # a few arrivals at both ends of the number range, the rest close together
+    i = F.col("flow_id")
+    close = (i % 10) * 1_000_000 + F.floor(i / 10)
+    arrival = F.when(i % 4001 == 0, F.lit(4 * 10**18) + i).when(i % 4001 == 1, i - F.lit(4 * 10**18)).otherwise(close)
+    return late_flows(flows.withColumn("arrival", arrival), DAY, 900, "arrival")
 
 
 @query(

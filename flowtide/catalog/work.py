@@ -95,7 +95,7 @@ def _headers(flows):
         (F.lit(1) + (F.col("out_dst_mac") - F.lit(2482300000000)) % 30).alias("flow_count"),
     )
     step = F.col("flow_count") + F.when(F.col("arrival") % 97 == 0, 7).otherwise(0)
-    run = ordered.running(base, "arrival", {"total": ("sum", step)}, by=("ident",), block=upkeep.HEADER_BLOCK)
+    run = ordered.running(base, "arrival", {"total": ("sum", step)}, by=("ident",), block=ordered.ByRank(upkeep.HEADER_BLOCK))
     start = F.col("total") - F.col("flow_count") + F.lit(_WRAP)
     return run.select("ident", "arrival", "flow_count", F.pmod(start, F.lit(1 << 32)).alias("flow_sequence"))
 
@@ -116,6 +116,19 @@ def _(flows):
     return upkeep.sequence_gaps(_headers(flows))
 
 
+@query(
+    "sequence_gaps_sparse_arrivals",
+    f"""WITH {_HEADERS}, o AS (SELECT ident, flow_sequence, flow_count, CASE WHEN arrival % 5003 = 0 THEN 4000000000000000000 + arrival ELSE arrival * 1000003 END AS arrival FROM q),
+        s AS (SELECT *, lag(flow_sequence) OVER w AS ps, lag(flow_count) OVER w AS pc FROM o WINDOW w AS (PARTITION BY ident ORDER BY arrival))
+        SELECT ident, count(*) AS headers, count(*) FILTER ((flow_sequence - ps + 4294967296) % 4294967296 <> pc) AS failures FROM s GROUP BY ident""",
+)
+def _(flows):
+    # a million units between arrivals, and some far beyond all others
+    arrival = F.col("arrival")
+    sparse = F.when(arrival % 5003 == 0, F.lit(4 * 10**18) + arrival).otherwise(arrival * 1_000_003)
+    return upkeep.sequence_gaps(_headers(flows).withColumn("arrival", sparse))
+
+
 @query(
     "sequence_failures",
     f"""WITH {_HEADERS} SELECT ident, arrival, flow_sequence, (flow_sequence - ps + 4294967296) % 4294967296 AS distance

@@ -17,15 +17,15 @@ def sequence_steps(headers: DataFrame, exporter: str = "ident", arrival: str = "
     """Each header next to its exporter's previous one: distance, expected step, failure.
 
     `headers` has (exporter, arrival, flow_sequence, flow_count). The sequence is a 32-bit
-    counter, so a step is taken modulo 2^32. An exporter with very many headers is cut into
-    blocks of arrivals.
+    counter, so a step is taken modulo 2^32. Arrivals are cut into blocks by rank: an exporter
+    may have any share of the headers, and arrivals may be as sparse as they like.
     """
     steps = ordered.previous(
         headers,
         arrival,
         {"prev_sequence": F.col("flow_sequence"), "prev_count": F.col("flow_count")},
         by=(exporter,),
-        block=HEADER_BLOCK,
+        block=ordered.ByRank(HEADER_BLOCK),
     )
     distance = F.pmod(F.col("flow_sequence") - F.col("prev_sequence"), F.lit(1 << 32))
     failed = F.coalesce(distance != F.col("prev_count"), F.lit(False))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowtide.functions import addresses as A, names as N
+from flowtide.plans import ordered
 from flowtide.schema import ADDRESS_COLUMNS
 
 
@@ -50,65 +51,84 @@ def network_table(spark: SparkSession, networks: list[str]) -> DataFrame:
     return spark.createDataFrame(table)
 
 
-def _masked(addr: tuple, bits: int, v6: bool) -> list[Column]:
-    """The address under a prefix length, in the order of the key columns."""
-    v4, hi, lo = addr
-    if v6:
-        return list(A.network_v6(hi, lo, F.lit(bits)))
-    return [A.network_v4(v4, F.lit(bits))]
+#: addresses and network starts of a block, when they are put in order
+ADDRESS_BLOCK = 1 << 20
+
+_LOWEST = -(1 << 63)
+
+
+def _unsigned(word: Column) -> Column:
+    """A word whose signed order is the order of its 64 bits read as unsigned."""
+    return word.bitwiseXOR(F.lit(_LOWEST).cast("bigint"))
+
+
+def _low_ones(bits: Column) -> Column:
+    """A word of `bits` (0 to 64) ones at its low end."""
+    return F.when(bits >= 64, F.lit(-1).cast("bigint")).otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), bits)))
+
+
+def network_ranges(networks: DataFrame) -> DataFrame:
+    """A network list as ranges: `kind`, `grp`, `at`, `upto`.
+
+    Kind 4 are IPv4 addresses, 6 the high words of IPv6 addresses, for networks of 64 bits or
+    fewer, 7 the low words under the high word `grp`, for longer ones. Words are in unsigned order.
+    """
+    bits, v4, hi, lo = F.col("bits"), F.col("net"), F.col("net_hi"), F.col("net_lo")
+    null = F.lit(None).cast("bigint")
+    end4 = v4.bitwiseOR(_low_ones(F.lit(32) - bits))
+    end6, end7 = hi.bitwiseOR(_low_ones(F.lit(64) - bits)), lo.bitwiseOR(_low_ones(F.lit(128) - bits))
+
+    def row(kind: int, grp: Column, at: Column, upto: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), grp.alias("grp"), at.alias("at"), upto.alias("upto"))
+
+    range_ = (
+        F.when(v4.isNotNull(), row(4, null, v4, end4))
+        .when(bits <= 64, row(6, null, _unsigned(hi), _unsigned(end6)))
+        .otherwise(row(7, hi, _unsigned(lo), _unsigned(end7)))
+    )
+    return networks.select(range_.alias("r")).select("r.*")
+
+
+def addresses_in_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
+    """The rows of `addresses` (`v4`, `hi`, `lo`, all different) that lie in a network of `networks` (as of `network_table`).
+
+    Ranges and addresses are put in one order. An address lies in a range if the greatest end of
+    all ranges that begin at or before it is not before it: a running maximum, whatever the
+    ranges' number and however they nest. It runs in blocks by rank, so no task sees all.
+    """
+    null = F.lit(None).cast("bigint")
+
+    def place(kind: int, grp: Column, at: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), grp.alias("grp"), at.alias("at"))
+
+    places = F.when(F.col("v4").isNotNull(), F.array(place(4, null, F.col("v4")))).otherwise(
+        F.array(place(6, null, _unsigned(F.col("hi"))), place(7, F.col("hi"), _unsigned(F.col("lo"))))
+    )
+    placed = addresses.filter("v4 IS NOT NULL OR hi IS NOT NULL").select("v4", "hi", "lo", F.explode(places).alias("p")).select("v4", "hi", "lo", "p.*")
+    asked = placed.select("kind", "grp", "at", null.alias("upto"), F.lit(True).alias("asked"))
+    marks = asked.union(network_ranges(networks).withColumn("asked", F.lit(False))).groupBy("kind", "grp", "at").agg(F.max("upto").alias("upto"), F.max("asked").alias("asked"))
+    reached = ordered.running(marks, "at", {"reach": ("max", F.col("upto"))}, by=("kind", "grp"), block=ordered.ByRank(ADDRESS_BLOCK))
+    inside = reached.filter(F.col("asked") & (F.col("reach") >= F.col("at"))).select("kind", "grp", "at")
+    same = (placed["kind"] == inside["kind"]) & placed["grp"].eqNullSafe(inside["grp"]) & (placed["at"] == inside["at"])
+    return placed.join(inside, same, "left_semi").select("v4", "hi", "lo").distinct()
 
 
 def in_networks(flows: DataFrame, networks: DataFrame, side: str = "src") -> DataFrame:
     """Flows whose `side` ("src", "dst", "either", "both") address lies in a listed network.
 
-    `networks` has the columns of `network_table`. The distinct addresses are masked to every
-    prefix length in use and matched by equality, so no range join is needed; flows then meet
-    the addresses found, and each flow comes out once. No side is hinted: adaptive execution
-    broadcasts what it measures to be small and splits frequent addresses.
+    `networks` has the columns of `network_table`, and any length. The distinct addresses of all
+    sides are matched once (see `addresses_in_networks`); flows then meet the addresses found by
+    equality, and each flow comes out once. No side is hinted: adaptive execution broadcasts what
+    it measures to be small and splits frequent addresses.
     """
-    # at most 33 + 129 rows: one per prefix length in use
-    lengths = sorted((r["bits"], r["v6"]) for r in networks.select("bits", F.col("net").isNull().alias("v6")).distinct().collect())
     sides = ["src", "dst"] if side in ("either", "both") else [side]
+    every = F.array(*[F.struct(*[F.col(c).alias(k) for c, k in zip(ADDRESS_COLUMNS[s], ("v4", "hi", "lo"))]) for s in sides])
+    found = addresses_in_networks(flows.select(F.explode(every).alias("a")).select("a.*").distinct(), networks)
     for s in sides:
-        flows = _match(flows, networks, s, lengths)
-    hits = [F.col(f"_in_{s}") for s in sides]
+        names = [f"_{s}_{k}" for k in found.columns]
+        hits = found.toDF(*names).withColumn(f"_in_{s}", F.lit(True))
+        on = [F.col(c).eqNullSafe(F.col(h)) for c, h in zip(ADDRESS_COLUMNS[s], names)]
+        flows = flows.join(hits, reduce(lambda a, b: a & b, on), "left").drop(*names)
+    hits = [F.coalesce(f"_in_{s}", F.lit(False)) for s in sides]
     keep = hits[0] if len(hits) == 1 else (hits[0] | hits[1] if side == "either" else hits[0] & hits[1])
     return flows.filter(keep).drop(*[f"_in_{s}" for s in sides])
-
-
-def _match(flows: DataFrame, networks: DataFrame, side: str, lengths: list) -> DataFrame:
-    cols = list(ADDRESS_COLUMNS[side])
-    addr = tuple(F.col(c) for c in cols)
-    null = F.lit(None).cast("bigint")
-    tries = F.array(
-        *[
-            F.struct(
-                F.lit(bits).alias("bits"),
-                *[
-                    e.alias(n)
-                    for e, n in zip(
-                        [null, *_masked(addr, bits, True)] if v6 else [*_masked(addr, bits, False), null, null],
-                        ("net", "net_hi", "net_lo"),
-                    )
-                ],
-            )
-            for bits, v6 in lengths
-        ]
-    ) if lengths else F.array().cast("array<struct<bits:int,net:bigint,net_hi:bigint,net_lo:bigint>>")
-    tried = flows.select(*cols).distinct().select(*cols, F.explode(tries).alias("t"))
-    n = networks.alias("n")
-    same = [F.col("t.bits") == F.col("n.bits")] + [
-        F.col(f"t.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("net", "net_hi", "net_lo")
-    ]
-    hits = (
-        tried.join(n, reduce(lambda a, b: a & b, same), "left_semi")
-        .select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(cols)])
-        .distinct()
-        .withColumn(f"_in_{side}", F.lit(True))
-    )
-    on = [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(cols)]
-    return (
-        flows.join(hits, reduce(lambda a, b: a & b, on), "left")
-        .withColumn(f"_in_{side}", F.coalesce(f"_in_{side}", F.lit(False)))
-        .drop("_h0", "_h1", "_h2")
-    )

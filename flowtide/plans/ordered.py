@@ -5,35 +5,54 @@ into blocks instead: a window inside each block, then one row per block that car
 the blocks before it add up to. With n rows and blocks of b rows, no task sees more than
 about max(b, n / b) of them.
 
+Blocks are spans of the order column, for series with about as many rows in each (timeslots),
+or `ByRank`, cut where a given number of rows has passed, whatever the values are.
+
 The order column is a BIGINT; together with `by` it must be unique.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide.functions.rates import int_div
 
 BLOCK = 4096
+#: blocks by rank, at most; the driver holds their bounds
+MOST_BLOCKS = 1 << 16
 
 
-def even_block(df: DataFrame, order: str, rows: int) -> Column:
-    """Width of a block that holds about `rows` rows where the order column is evenly spread.
+@dataclass(frozen=True)
+class ByRank:
+    """Blocks of about `rows` rows each, over all `by` together, however the order is spread.
 
-    A scalar subquery over its least, its greatest and their number, so that a sparse order (of
-    microseconds, say) is not cut into a block for every row.
+    Bounds are approximate quantiles of all rows, fixed before the plan is made, so all parts of
+    it see the same blocks. Of more than MOST_BLOCKS times `rows` rows a block has more.
     """
-    blocks = F.greatest(int_div(F.count(F.lit(1)), F.lit(rows).cast("bigint")), F.lit(1).cast("bigint"))
-    # halves, so that the span of any two numbers fits
-    half = int_div(F.max(order), F.lit(2).cast("bigint")) - int_div(F.min(order), F.lit(2).cast("bigint"))
-    width = F.greatest(int_div(half, blocks), F.lit(1).cast("bigint")) * 2
-    return df.agg(F.coalesce(width, F.lit(1).cast("bigint")).alias("w")).scalar()
+
+    rows: int
+
+    def bounds(self, df: DataFrame, order: str) -> list[float]:
+        blocks = min(-(-df.count() // self.rows), MOST_BLOCKS)
+        if blocks < 2:
+            return [0.0]
+        shares = [k / blocks for k in range(1, blocks)]
+        found = df.agg(F.percentile_approx(order, shares, max(10_000, 10 * blocks))).first()[0]
+        # numbers beyond 53 bits are rounded, which keeps their order
+        return sorted({float(v) for v in found})
 
 
-def _in_blocks(df: DataFrame, order: str, block: int | Column) -> DataFrame:
-    size = block if isinstance(block, Column) else F.lit(block).cast("bigint")
-    start = F.col(order) - F.pmod(F.col(order), size)
-    return df.withColumn("_blk", int_div(start, size))
+def _in_blocks(df: DataFrame, order: str, block: int | ByRank) -> DataFrame:
+    if isinstance(block, ByRank):
+        splits = [float("-inf"), *block.bounds(df, order), float("inf")]
+        cut = Bucketizer(splits=splits, inputCol="_at_order", outputCol="_cut")
+        numbered = cut.transform(df.withColumn("_at_order", F.col(order).cast("double")))
+        return numbered.withColumn("_blk", F.col("_cut").cast("bigint")).drop("_at_order", "_cut")
+    start = F.col(order) - F.pmod(F.col(order), F.lit(block).cast("bigint"))
+    return df.withColumn("_blk", int_div(start, F.lit(block).cast("bigint")))
 
 
 def _with_carry(local: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
@@ -50,7 +69,7 @@ def _with_carry(local: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
 
 
 def running(
-    df: DataFrame, order: str, values: dict[str, tuple], by: tuple[str, ...] = (), block: int | Column = BLOCK
+    df: DataFrame, order: str, values: dict[str, tuple], by: tuple[str, ...] = (), block: int | ByRank = BLOCK
 ) -> DataFrame:
     """Add running values along `order` within `by`, the current row included.
 
@@ -112,7 +131,7 @@ def previous(
     values: dict[str, Column],
     k: int = 1,
     by: tuple[str, ...] = (),
-    block: int = BLOCK,
+    block: int | ByRank = BLOCK,
 ) -> DataFrame:
     """Add the values of the preceding rows along `order` within `by`; NULL where there is none.
 

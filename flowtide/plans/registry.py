@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from flowtide.metrics import divergence, entropy, flooding, frequency, handshake, momentum
 from flowtide.metrics import centroid
 from flowtide.plans.slots import calendar, with_slot
-from flowtide.session import hold
+from flowtide.session import drop_held, hold
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,9 @@ class Context:
         return self._tables[name]
 
     def result(self, name: str) -> DataFrame:
+        """The result of a metric of the run, computed when it is first asked for."""
+        if name not in self._results:
+            self._results[name] = METRICS[name].fn(self)
         return self._results[name]
 
     def params(self, name: str) -> dict:
@@ -77,23 +80,26 @@ class Context:
 
 @dataclass
 class MetricRun:
-    results: dict[str, DataFrame]
     order: list[str]
     _context: Context
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.results[name]
+        if name not in self.order:
+            raise KeyError(f"not in this run: {name}")
+        return self._context.result(name)
+
+    @property
+    def results(self) -> dict[str, DataFrame]:
+        """All results, dependencies first."""
+        return {name: self[name] for name in self.order}
 
     def release(self) -> None:
         """Delete the tables the run wrote for its metrics; call it after the results were written.
 
-        Nothing of a run is held on executors, so a run that is not released only leaves files.
+        Nothing of a run is held on executors, and what is not released goes with the application.
         """
-        spark = self._context.flows.sparkSession
         for name in self._context.shared & set(self._context._tables):
-            for folder in {f.rsplit("/", 1)[0] for f in self._context._tables[name].inputFiles()}:
-                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            drop_held(self._context._tables[name])
 
 
 def resolve(names) -> list[str]:
@@ -120,7 +126,8 @@ def metric_run(flows: DataFrame, metrics, width: str) -> MetricRun:
     """Compute metrics by name, or by config dicts {"name": ..., "deps": [...], parameters...}.
 
     `deps` in a config must agree with the registered ones; other entries are passed on as
-    the metric's parameters.
+    the metric's parameters. A result is computed when it is taken from the run, so a metric
+    that nobody reads costs nothing; tables that several metrics of the run use are written once.
     """
     parameters, names = {}, []
     for m in metrics:
@@ -138,9 +145,7 @@ def metric_run(flows: DataFrame, metrics, width: str) -> MetricRun:
     ctx = Context(
         with_slot(flows, width), width, parameters, {t for t, k in uses.items() if k > 1}
     )
-    for name in order:
-        ctx._results[name] = METRICS[name].fn(ctx)
-    return MetricRun({n: ctx._results[n] for n in order}, order, ctx)
+    return MetricRun(order, ctx)
 
 
 # --- the built-in metrics ---------------------------------------------------------

@@ -67,7 +67,22 @@ def share_below_warehouse(spark: SparkSession) -> None:
 
 
 def hold(df: DataFrame, purpose: str) -> DataFrame:
-    """`df` written to the shared folder and read back: computed once, and nothing to release on executors."""
-    path = shared_folder(df.sparkSession, purpose)
+    """`df` written to the shared folder and read back: computed once, and nothing to release on executors.
+
+    The files go when the application ends, or before with `drop_held`.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_held(df: DataFrame) -> None:
+    """Delete what `hold` wrote for `df`, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("flowtide-"):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -95,8 +95,7 @@ def late_flows(flows: DataFrame, width: str, timeout_s: int, arrival: str = "flo
     maximum over the arrivals is computed in blocks, not in one task.
     """
     seen = flows.select(F.col(arrival).alias("_arrival"), slot(width).alias("slot"), epoch_s("first_ts").alias("_s"))
-    block = ordered.even_block(seen, "_arrival", ARRIVAL_BLOCK)
-    seen = ordered.running(seen, "_arrival", {"_max_s": ("max", F.col("_s"))}, block=block)
+    seen = ordered.running(seen, "_arrival", {"_max_s": ("max", F.col("_s"))}, block=ordered.ByRank(ARRIVAL_BLOCK))
     # a flow later than its slot's release cannot itself be the running maximum
     latest = F.greatest(F.col("_max_s"), F.lit(seen_s).cast("bigint"))
     released = latest - F.lit(timeout_s) >= epoch_s("slot") + F.lit(width_seconds(width))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import ipaddress
 import random
+from pathlib import Path
 import statistics
 from datetime import datetime
 
@@ -69,6 +70,43 @@ def test_v6_keeps_prefixes(spark):
             assert shared_bits(x, y, 128) == shared_bits(got[i], got[j], 128)
 
 
+def test_a_prefix_is_encrypted_once(spark):
+    """Ciphers by level of the tree: its distinct prefixes times the bits since the level before."""
+    rng = random.Random(4)
+    nets = [rng.getrandbits(24) << 8 for _ in range(12)]
+    addrs = sorted({n + rng.getrandbits(8) for n in nets for _ in range(60)})
+    df = spark.createDataFrame([(a,) for a in addrs], "v4 bigint")
+    tree = AN.prefix_tree_v4(df, KEY)
+    ciphers = sum(level.count() * (bits - before) for level, bits, before in zip(tree, AN.LEVELS_V4, (0, *AN.LEVELS_V4)))
+    assert ciphers == 16 * len({a >> 16 for a in addrs}) + 8 * len({a >> 8 for a in addrs}) + 8 * len(addrs) < 10 * len(addrs)
+    got = {r.v4: r.a for r in tree[-1].select("v4", F.col("v4").bitwiseXOR(F.col("flips")).alias("a")).collect()}
+    want = {r.v4: r.a for r in df.select("v4", AN.anonymise_v4(F.col("v4"), KEY).alias("a")).collect()}
+    assert got == want
+    v6 = [split_v6(int(ipaddress.IPv6Address("2001:db8::")) + (a << (s % 100))) for s, a in enumerate(addrs[:150])]
+    df = spark.createDataFrame(sorted(set(v6)), "hi bigint, lo bigint")
+    hi, lo = AN.anonymise_v6(F.col("hi"), F.col("lo"), KEY)
+    want = {(r.hi, r.lo): (r.h, r.l) for r in df.select("hi", "lo", hi.alias("h"), lo.alias("l")).collect()}
+    last = AN.prefix_tree_v6(df, KEY)[-1]
+    got = {(r.hi, r.lo): (r.h, r.l) for r in last.select("hi", "lo", F.col("hi").bitwiseXOR(F.col("flips_hi")).alias("h"), F.col("lo").bitwiseXOR(F.col("flips_lo")).alias("l")).collect()}
+    assert got == want
+
+
+def test_anonymisation_stores_nothing_and_joins_once(spark, tmp_path):
+    """No table of addresses and pseudonyms is left anywhere; flows move for one join."""
+    flows = make_flows(spark, [dict(src_addr=k % 5, dst_addr=7, packets=k) for k in range(20)])
+    flows.write.parquet(str(tmp_path / "flows"))
+    stored = spark.read.schema(flows.schema).parquet(str(tmp_path / "flows"))
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(Path(root).parent.rglob("*")) if Path(root).exists() else set()
+    out = AN.anonymise(stored, KEY)
+    assert out.count() == 20 and len({r.src_addr for r in out.collect()}) == 5
+    after = set(Path(root).parent.rglob("*")) if Path(root).exists() else set()
+    assert not {p for p in after - before if "flowtide" in p.name}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Join" in line]
+    assert len([line for line in wide if "LeftOuter" in line]) == 1
+
+
 def test_anonymise_flows(spark):
     hi, lo = split_v6(int(ipaddress.IPv6Address("2001:db8::1")))
     df = make_flows(spark, [

@@ -74,12 +74,28 @@ def test_no_window_without_partition_sees_all_rows(spark):
     assert "_blk" in plan
 
 
-def test_sparse_orders_get_few_blocks(spark):
-    """Ten thousand rows a million apart make blocks of rows, not a block for each row."""
-    df = spark.range(10_000).select((F.col("id") * 1_000_003).alias("o"), F.col("id").alias("v"))
-    width = ordered.even_block(df, "o", 1000)
-    blocks = df.select(F.floor(F.col("o") / width).alias("b")).groupBy("b").count().collect()
-    assert 9 <= len(blocks) <= 12 and max(r["count"] for r in blocks) <= 1100
-    got = ordered.running(df, "o", {"s": ("sum", F.col("v"))}, block=width).orderBy("o").collect()
-    assert [r.s for r in got[:100]] == [i * (i + 1) // 2 for i in range(100)] and got[-1].s == 9999 * 5000
-    assert ordered.running(df.limit(0), "o", {"s": ("sum", F.col("v"))}, block=ordered.even_block(df.limit(0), "o", 5)).count() == 0
+@pytest.mark.parametrize("kind", ["even", "sparse", "outliers", "crowded"])
+def test_blocks_by_rank_hold_about_as_many_rows(spark, kind):
+    """However the order is spread, the largest block is near its size, and running values are right."""
+    i = F.col("id")
+    orders = {
+        "even": i,
+        "sparse": i * 1_000_003,
+        "outliers": F.when(i == 0, F.lit(-4 * 10**18)).when(i > 9995, F.lit(9 * 10**18) + i).otherwise(i),
+        "crowded": F.when(i < 9000, i).otherwise(F.pow(F.lit(1.002), i).cast("bigint") + i),
+    }
+    df = spark.range(10_000).select(orders[kind].alias("o"), i.alias("v"), (i % 3).alias("by"))
+    blocks = ordered._in_blocks(df, "o", ordered.ByRank(1000)).groupBy("_blk").count().collect()
+    assert 9 <= len(blocks) <= 11 and max(r["count"] for r in blocks) <= 1100
+    got = ordered.running(df, "o", {"s": ("sum", F.col("v"))}, block=ordered.ByRank(1000)).orderBy("o").collect()
+    assert [r.s for r in got[:100]] == [k * (k + 1) // 2 for k in range(100)] and got[-1].s == 9999 * 5000
+    before = ordered.previous(df, "o", {"p": F.col("v")}, by=("by",), block=ordered.ByRank(700))
+    assert before.filter("NOT p <=> (CASE WHEN v > 2 THEN v - 3 END)").count() == 0
+
+
+def test_blocks_by_rank_of_few_rows_and_ties(spark):
+    df = spark.range(5).select(F.lit(7).cast("bigint").alias("o"), F.col("id").alias("by"), F.col("id").alias("v"))
+    for rows in (2, 100):
+        got = ordered.running(df, "o", {"s": ("sum", F.col("v"))}, by=("by",), block=ordered.ByRank(rows)).collect()
+        assert sorted((r.by, r.s) for r in got) == [(k, k) for k in range(5)]
+    assert ordered.running(df.limit(0), "o", {"s": ("sum", F.col("v"))}, block=ordered.ByRank(5)).count() == 0

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ipaddress
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import T0, at, make_flows
-from flowtide.functions.addresses import parse_address
+from flowtide.functions.addresses import parse_address, split_v6
 from flowtide.operators import joins, predicates as P
 
 
@@ -186,3 +188,22 @@ def test_network_lists(spark, side, want):
     out = joins.in_networks(make_flows(spark, rows), nets, side)
     assert sorted(r.flow_id for r in out.collect()) == want
     assert "net" not in out.columns and len(out.columns) == len(set(out.columns))
+
+
+def test_long_lists_of_nested_and_neighbouring_networks(spark, monkeypatch):
+    """Random lists of both families, cut into many blocks, against Python's own membership."""
+    monkeypatch.setattr(joins, "ADDRESS_BLOCK", 40)
+    rng = random.Random(12)
+    v4 = [f"{ipaddress.IPv4Address(rng.getrandbits(32))}/{rng.choice([1, 6, 9, 17, 24, 31, 32])}" for _ in range(60)]
+    v6 = [f"{ipaddress.IPv6Address(rng.getrandbits(128))}/{rng.choice([3, 40, 64, 65, 90, 127, 128])}" for _ in range(60)]
+    nets = [ipaddress.ip_network(n, strict=False) for n in [*v4[:59], *v6, "10.1.0.0/16", "10.1.2.0/24"]]
+    addrs = [ipaddress.ip_address(a) for n in nets for a in (n.network_address, n.broadcast_address)]
+    addrs += [type(a)(min(max(int(a) + d, 0), 2 ** a.max_prefixlen - 1)) for a in addrs[::3] for d in (-1, 1)]
+    rows = []
+    for i, a in enumerate(addrs):
+        hi, lo = split_v6(int(a)) if a.version == 6 else (None, None)
+        rows.append((int(a) if a.version == 4 else None, hi, lo, i))
+    df = spark.createDataFrame(rows, "v4 bigint, hi bigint, lo bigint, i int")
+    found = joins.addresses_in_networks(df.select("v4", "hi", "lo").distinct(), joins.network_table(spark, [str(n) for n in nets]))
+    got = {(r.v4, r.hi, r.lo) for r in found.collect()}
+    assert got == {r[:3] for r, a in zip(rows, addrs) if any(a in n for n in nets)} and len(got) < len({r[:3] for r in rows})
