@@ -65,5 +65,6 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, st
     if whole and not ids.filter((F.col("count") > 1) | F.col("i").isNull()).limit(1).count():
         return docs.withColumn(name, F.col(id_col).cast("long")), name
     order = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()]
-    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    # equal rows may be dealt over several partitions
+    rows = docs.repartitionByRange(*order, F.rand(3)).sortWithinPartitions(*order)
     return stored(rows.withColumn(name, F.monotonically_increasing_id()), "ordered"), name

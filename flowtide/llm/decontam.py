@@ -8,17 +8,21 @@ counts as contaminated.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowtide.llm.common import fresh_name
+from flowtide.llm.common import drop_stored, fresh_name, stored
 from flowtide.llm.textbytes import ALPHANUMERIC, Words, words
 
 #: words of a window
 WINDOW = 10
 #: bytes of benchmark text held by one broadcast set; a larger benchmark takes more passes
 SET_BYTES = 16 << 20
+#: words of a piece of an item; longer items are cut into pieces that overlap by a window
+PIECE_WORDS = 1 << 14
 
 _FILTER_BITS = 22
 _HITS = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<begin:bigint,end:bigint>>,items:array<string>>"
@@ -35,46 +39,79 @@ def _window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """All windows of some benchmark items, by length: hashes to look up, words to verify."""
+    """All windows of some benchmark items, by length: sorted hashes, where each window begins, and the words to verify it by.
+
+    A window takes twelve bytes besides its words. `hits` counts on words of the lower-cased text.
+    """
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.exact: dict[int, dict[bytes, set[str]]] = {}
-        hashes: dict[int, list[np.ndarray]] = {}
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        self.items = [item for item, _ in items]
         texts = pa.array([text for _, text in items], pa.string())
+        data, start, end, owner, hashes, at = [], [], [], [], {}, {}
+        size = n_words = 0
         for block in words(texts, ALPHANUMERIC, lower=True):
             h = block.hashes()
             for k in range(len(block.first) - 1):
                 a, b = int(block.first[k]), int(block.first[k + 1])
                 n = min(window, b - a)
-                if not n:
-                    continue
-                hashes.setdefault(n, []).append(_window_hashes(h[a:b], n))
-                exact = self.exact.setdefault(n, {})
-                spelled = [block.word(i) for i in range(a, b)]
-                for i in range(b - a - n + 1):
-                    exact.setdefault(b" ".join(spelled[i : i + n]), set()).add(items[block.row + k][0])
-        self.hashes = {n: np.unique(np.concatenate(x)) for n, x in hashes.items()}
-        self.seen = {}
-        for n, x in self.hashes.items():
+                if n:
+                    hashes.setdefault(n, []).append(_window_hashes(h[a:b], n))
+                    at.setdefault(n, []).append(np.arange(n_words + a, n_words + b - n + 1, dtype=np.int32))
+            data.append(block.data)
+            start.append(block.start + size)
+            end.append(block.end + size)
+            owner.append((block.row + block.text_of_word()).astype(np.int32))
+            size, n_words = size + len(block.data), n_words + len(block.start)
+        flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        self.data, self.start, self.end, self.owner = flat(data, np.uint8), flat(start, np.int32), flat(end, np.int32), flat(owner, np.int32)
+        self.hashes, self.at, self.seen = {}, {}, {}
+        for n in hashes:
+            h, place = np.concatenate(hashes[n]), np.concatenate(at[n])
+            order = np.argsort(h, kind="stable")
+            self.hashes[n], self.at[n] = h[order], place[order]
             self.seen[n] = np.zeros(1 << _FILTER_BITS, bool)
-            self.seen[n][x >> np.uint64(64 - _FILTER_BITS)] = True
+            self.seen[n][h >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def _equal(self, block: Words, i: int, place: int, n: int) -> bool:
+        own = (block.word(k) for k in range(i, i + n))
+        return all(w == self.data[self.start[k] : self.end[k]].tobytes() for k, w in enumerate(own, place))
 
     def hits(self, block: Words) -> list[tuple[int, int, set[str]]]:
-        """(first word, words, items) of each verified window, none across two texts."""
+        """(first word, words, items with an id) of each verified window, none across two texts."""
         found = []
         h = block.hashes()
         for n, known in self.hashes.items():
             grams = _window_hashes(h, n)
             at = np.flatnonzero(self.seen[n][grams >> np.uint64(64 - _FILTER_BITS)])
-            at = at[np.isin(grams[at], known)]
+            low, high = (np.searchsorted(known, grams[at], side=side) for side in ("left", "right"))
             row = np.searchsorted(block.first, at, side="right") - 1
-            for i in at[at + n <= block.first[row + 1]].tolist():
-                items = self.exact[n].get(b" ".join(block.word(k) for k in range(i, i + n)))
-                if items:
-                    found.append((i, n, items))
+            good = (low < high) & (at + n <= block.first[row + 1])
+            for i, a, b in zip(at[good].tolist(), low[good].tolist(), high[good].tolist()):
+                places = [p for p in self.at[n][a:b].tolist() if self._equal(block, i, p, n)]
+                if places:
+                    found.append((i, n, {self.items[self.owner[p]] for p in places} - {None}))
         return found
 
 
+def _pieces(window: int):
+    """Items cut into pieces of PIECE_WORDS words, each beginning with the last window - 1 words of the one before."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for block in words(texts, ALPHANUMERIC):
+                out = ([], [])
+                for k in range(len(block.first) - 1):
+                    a, b = int(block.first[k]), int(block.first[k + 1])
+                    for first in range(a, max(b - window + 1, a + 1) if b > a else a, PIECE_WORDS):
+                        last = min(first + PIECE_WORDS + window - 1, b) - 1
+                        out[0].append(ids[block.row + k].as_py())
+                        out[1].append(block.data[block.start[first] : block.end[last]].tobytes().decode())
+                yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], names=["item", "text"])
+
+    return task
+
+
 def _scan(texts: pa.Array, windows: WindowSet, before: pa.Array) -> pa.Array:
     """Hits of each text as _HITS; `before` has those of earlier passes, null in the first."""
     rows: list[dict] = []
@@ -120,22 +157,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """`docs` with a struct column `hits`: `n_words`, `n_hit`, `spans` (byte ranges of hit words), `items`.
 
     The struct gets underscores before its name if `docs` has that column. `items` are ids of the
-    items with a window in the text, as text, sorted. A null text or item has no words; repeated
-    items all count; an empty benchmark or table gives no hits. Texts are scanned whole and no
-    row moves. The benchmark is dealt into sets of about SET_BYTES, each broadcast and scanned in
-    a pass of its own, so that what a task holds is bounded whatever the benchmark's size.
+    items with a window in the text, as text, sorted; windows of items without an id count as
+    hits and name no item. A null text or item has no words; repeated items all count; an empty
+    benchmark or table gives no hits. Texts are scanned whole and no row moves. The benchmark,
+    long items in pieces, is dealt into sets of about SET_BYTES. Each is broadcast and scanned in
+    a pass of its own, and what a pass found is written before the next set is made, so that the
+    driver and a task hold one set, whatever the benchmark's size.
     """
     spark = docs.sparkSession
     name = fresh_name(docs, "hits")
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL")
+    items = items.mapInArrow(_pieces(window), "item string, text string")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-total // SET_BYTES))
-    out = docs
+    out, before = docs, None
     for k in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else items
         held = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.collect()], window))
-        before = F.col(name) if k else F.lit(None).cast(_HITS)
-        out = out.withColumn(name, _pass(held)(F.col(text_col), before))
+        found = F.col(name) if k else F.lit(None).cast(_HITS)
+        out = out.withColumn(name, _pass(held)(F.col(text_col), found))
+        if k < passes - 1:
+            out = stored(out, "hits")
+            held.destroy()
+            if before is not None:
+                drop_stored(before)
+            before = out
     return out
 
 

@@ -78,14 +78,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The struct gets underscores before its name if `docs` has a column `mix`. `relative_weight`
     names a column that makes documents of a source likelier by that factor (null counts as 1);
     expected copies stop at MOST. Null texts have no words and are never taken; null is a source
-    of its own; rows of a source that share an id share their random number and are sampled or
-    left together; an empty table gives an empty one. The last document of a source is the one
-    row not yet taken whose size comes nearest to the words still missing (ties: by order, id,
-    then text), if taking it comes nearer to the target than not.
+    of its own; rows of a source that share an id share their random number and come in order of
+    their texts; an empty table gives an empty one. The last document of a source is the one row
+    not yet taken whose size comes nearest to the words still missing (ties: by order, id, then
+    text), if taking it comes nearer to the target than not.
 
     Sizes are counted once into a narrow table in the shared folder. Sums over slices of each
-    source's order find the slice in which its words are reached; only ids of that slice are
-    ranked one by one, so no task sees all of a source, nor all rows of an id.
+    source's order find the slice in which its words are reached, then the id in it, the block of
+    that id's rows and the row, so no task sees all of a source, nor all rows of an id.
     """
     given = docs
     docs, u = numbered(docs, id_col, text_col)
@@ -98,8 +98,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = plan.select(F.struct(*plan.columns).alias(p))
     matched = facts.join(plan, F.col(f"{f}.source").eqNullSafe(F.col(f"{p}.source")), "left")
     size, whole, key = (_drawn(f"{f}.", f"{p}.", seed)[k] for k in ("size", "whole", "key"))
-    here = F.struct(key.alias("key"), F.col(f"{f}.id").alias("id"))
-    extra = (key.isNotNull() & (here <= F.col(f"{p}.last"))) | (F.col(f"{f}.u") == F.col(f"{p}.filler"))
+    here = F.struct(key.alias("key"), F.col(f"{f}.id").alias("id"), F.col(f"{f}.u").alias("u"))
+    border = F.col(f"{p}.border")
+    extra = (key.isNotNull() & (border.isNull() | (here < border))) | (F.col(f"{f}.u") == F.col(f"{p}.filler"))
     copies = whole + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
     mix = F.struct(size.alias("size"), F.col(f"{p}.source_size").alias("source_size"), F.col(f"{p}.target").alias("target"), copies.cast("int").alias("copies"), (copies * size).cast("long").alias("taken"))
     return matched.withColumn(name, mix).select(*[F.col(f"`{c}`") for c in given.columns], F.col(name).alias(fresh_name(given, "mix")))
@@ -115,52 +116,50 @@ def _drawn(row: str, source: str, seed: str) -> dict[str, Column]:
 
 
 def _borders(narrow: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """Per source: `source_size`, `target`, `last` (key and id of the last document in the order taken) and `filler` (the row number of one more)."""
+    """Per source: `source_size`, `target`, `border` (key, id and row number of the first document in the order that is not taken) and `filler` (the row number of one more)."""
     t = targets.select(F.struct("source", "source_size", "target").alias("t"))
     parts = _drawn("", "t.", seed)
     drawn = narrow.join(t, F.col("source").eqNullSafe(F.col("t.source"))).select(
         "t", F.col("u"), F.col("id"), F.col("size"), parts["whole"].alias("whole"), parts["key"].alias("key")
     )
-    sliced = drawn.withColumn("slice", F.floor(F.col("key") / (1 + F.col("key")) * SLICES).cast("long"))
-    sums = sliced.groupBy("t", "slice").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
-    by = Window.partitionBy("t")
-    upto = sums.withColumn("missing", F.col("t.target") - F.sum("certain").over(by)).withColumn("upto", F.sum(F.when(F.col("slice").isNotNull(), F.col("words")).otherwise(0)).over(by.orderBy(F.col("slice").asc_nulls_first())))
-    over = F.col("slice").isNotNull() & (F.col("upto") > F.col("missing"))
-    cut = upto.groupBy("t").agg(
-        F.max("missing").alias("missing"),
-        F.max("upto").alias("all_words"),
-        F.min(F.when(over, F.struct("slice", (F.col("upto") - F.col("words")).alias("before")))).alias("cut"),
-    )
-    # the slice in which the words are reached, id by id; rows with the same key and id count together
-    order = Window.partitionBy("t").orderBy("key", "id")
-    inside = (
-        sliced.join(cut.withColumn("slice", F.col("cut.slice")), ["t", "slice"])
-        .groupBy("t", "cut", "missing", "key", "id")
-        .agg(F.sum("size").alias("size"))
-        .withColumn("upto", F.col("cut.before") + F.sum("size").over(order))
-        .filter(F.col("upto") <= F.col("missing"))
-        .groupBy("t")
-        .agg(F.max("upto").alias("reached"), F.max(F.struct("key", "id")).alias("last"))
-    )
-    # all before the slice if none inside it fits; all there are if the words are never reached
-    none_inside = F.struct((F.col("cut.slice").cast("double") / (SLICES - F.col("cut.slice"))).alias("key"), F.lit(None).cast(narrow.schema["id"].dataType).alias("id"))
-    everything = F.struct(F.lit(float("inf")).alias("key"), F.lit(None).cast(narrow.schema["id"].dataType).alias("id"))
-    ends = cut.join(inside, "t", "left").select(
-        "t",
-        F.coalesce(F.col("last"), F.when(F.col("cut").isNull(), everything).otherwise(none_inside)).alias("last"),
-        (F.col("missing") - F.coalesce("reached", "cut.before", "all_words")).alias("gap"),
-    )
-    here = F.struct("key", "id")
+    drawn = drawn.withColumn("slice", F.floor(F.col("key") / (1 + F.col("key")) * SLICES).cast("long"))
+    certain = drawn.groupBy("t").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
+    start = certain.select("t", (F.col("t.target") - F.col("certain")).alias("missing"), F.lit(0).cast("long").alias("before"))
+    ranked = drawn.filter(F.col("key").isNotNull()).drop("whole")
+    # the slice in which the words are reached, the id in it, the block of that id's rows, the row
+    cut, rows = _reached(ranked, start, F.col("slice"))
+    rows = stored(rows, "border-slices")
+    # a source may leave nothing to chance
+    cut = stored(cut.union(start.join(cut, "t", "left_anti")), "border-slices")
+    for level in (F.struct("key", "id"), F.shiftright("u", 33), F.col("u")):
+        deeper, rows = _reached(rows, cut, level)
+        # sources whose words are never reached have no rows left
+        cut = deeper.union(cut.join(deeper, "t", "left_anti"))
+    border = rows.select("t", F.struct("key", "id", "u").alias("border"))
+    ends = cut.join(border, "t", "left").select("t", "border", (F.col("missing") - F.col("before")).alias("gap"))
     # documents of a source meet its row in several tasks
     salted = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    here, off = F.struct("key", "id", "u"), F.abs(F.col("size") - F.col("gap"))
     fillers = (
-        sliced.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        ranked.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
         .join(salted, ["t", "salt"])
-        .filter(F.col("key").isNotNull() & (here > F.col("last")) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
+        .filter((here >= F.col("border")) & (off < F.col("gap")))
         .groupBy("t")
-        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), here.alias("row"), F.col("u").alias("u"))).alias("best"))
+        .agg(F.min(F.struct(off.alias("off"), here.alias("row"))).alias("best"))
     )
-    return ends.join(fillers, "t", "left").select("t.source", "t.source_size", "t.target", "last", F.col("best.u").alias("filler"))
+    return ends.join(fillers, "t", "left").select("t.source", "t.source_size", "t.target", "border", F.col("best.row.u").alias("filler"))
+
+
+def _reached(rows: DataFrame, cut: DataFrame, level: Column) -> tuple[DataFrame, DataFrame]:
+    """Where in the order of `level` the words of a source pass what is `missing`, having `before`; and the rows there."""
+    sums = rows.groupBy("t", level.alias("at")).agg(F.sum("size").alias("words"))
+    order = Window.partitionBy("t").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = sums.join(cut, "t").withColumn("upto", F.col("before") + F.sum("words").over(order))
+    over = F.when(F.col("upto") > F.col("missing"), F.struct("at", (F.col("upto") - F.col("words")).alias("before")))
+    found = upto.groupBy("t").agg(F.max("missing").alias("missing"), F.min(over).alias("c"), F.max("upto").alias("all"))
+    after = found.select("t", "missing", F.coalesce("c.before", "all").alias("before"))
+    here = found.filter("c IS NOT NULL").select("t", F.col("c.at").alias("_at"))
+    return after, rows.withColumn("_level", level).join(here.withColumnRenamed("_at", "_level"), ["t", "_level"], "left_semi").drop("_level")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

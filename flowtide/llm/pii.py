@@ -228,7 +228,7 @@ class Pseudonymiser:
 
 #: fixed values: the formats of each kind, tried in this order at each place
 _FORMATS = [
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("email", r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"),
     ("date", r"(?<![\d./-])(?:\d{4}(?P<sep>[-/.])\d{2}(?P=sep)\d{2}|\d{2}(?P<sep2>[-/.])\d{2}(?P=sep2)\d{4})(?!\d)"),

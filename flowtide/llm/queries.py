@@ -102,7 +102,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # inclusion odds, its longest run that fits, and the document that fits the rest best.
 MIX_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight,
@@ -116,7 +116,7 @@ targets AS (
          least(CASE WHEN fill < level THEN 3.0::DOUBLE * source_size ELSE weight * (SELECT arg_min(level, fill) FROM levels WHERE NOT fill < level) END, 3.0::DOUBLE * source_size) AS target
   FROM levels),
 expected AS (
-  SELECT doc_id, size, t.source, source_size, target,
+  SELECT doc_id, size, t.source, text, source_size, target,
          CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS e,
          (('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
@@ -126,7 +126,7 @@ drawn AS (
   FROM expected),
 ranked AS (
   SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS missing,
-         sum(CASE WHEN key IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY key NULLS LAST, doc_id) AS upto
+         sum(CASE WHEN key IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY key NULLS LAST, doc_id, text ROWS UNBOUNDED PRECEDING) AS upto
   FROM drawn),
 gaps AS (
   SELECT *, key IS NOT NULL AND upto <= missing AS sampled,
@@ -134,7 +134,7 @@ gaps AS (
   FROM ranked),
 fillers AS (
   SELECT *, key IS NOT NULL AND NOT sampled AND abs(size - gap) < gap
-            AND row_number() OVER (PARTITION BY source, key IS NOT NULL AND NOT sampled AND abs(size - gap) < gap ORDER BY abs(size - gap), key, doc_id) = 1 AS filler
+            AND row_number() OVER (PARTITION BY source, key IS NOT NULL AND NOT sampled AND abs(size - gap) < gap ORDER BY abs(size - gap), key, doc_id, text) = 1 AS filler
   FROM gaps)
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN sampled OR filler THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM fillers

@@ -231,12 +231,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     the ids of all shards before it. Every task writes its own shard, so nothing but these
     counts leaves the executors; a repeated attempt replaces the same files. A null text is
     encoded as an empty one (only `end_id`); a null id comes first; rows that share an id are
-    all written, in order of their texts; an empty table gives no rows. `tokenizer` is a file of
+    all written, in order of a hash of their texts; an empty table gives no rows. `tokenizer` is a file of
     the tokenizers library that every executor has. `by_unit` says that its vocabulary is
     byte-level and splits at blanks, so that units between blanks may be encoded once and cached.
     """
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = frame.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # rows of one id are dealt by their texts' hashes, and equal rows over any shards
+    frame = frame.withColumns({"h": F.xxhash64("text"), "r": F.rand(9)})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("text").asc_nulls_first()]
+    ordered = frame.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h", "r").sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = Encoder.of(tokenizer, by_unit), None
