@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowtide.session import shared_folder
 from flowtide.catalog.base import DAY, query, r6, ts
 from flowtide.metrics import frequency as FQ
 from flowtide.metrics.handshake import connection_table
@@ -320,6 +321,27 @@ def _(flows):
     return FQ.unique_counts(flows, DAY)
 
 
+@query(
+    "unique_counts_from_stored_sketches",
+    f"""SELECT {ts("date_trunc('week', first_ts)")} AS week, count(DISTINCT src_addr) AS src, count(DISTINCT (dst_addr, dst_port)) AS dst_dport,
+               count(DISTINCT (src_addr, src_port, dst_addr, dst_port)) AS src_sport_dst_dport, true AS within
+        FROM flows GROUP BY ALL""",
+)
+def _(flows):
+    """Weeks united from sketches of days, and whether all are within three percent of the exact counts."""
+    spark = flows.sparkSession
+    keys = ("src", "dst_dport", "src_sport_dst_dport")
+    path = shared_folder(spark, "sketches")
+    FQ.unique_sketches(flows, DAY, keys).write.parquet(path)
+    week = F.date_trunc("week", "slot").cast("timestamp_ntz").alias("week")
+    united = FQ.united_counts(spark.read.parquet(path), week, keys=keys)
+    exact = flows.groupBy(F.date_trunc("week", "first_ts").cast("timestamp_ntz").alias("week")).agg(
+        *[F.count_distinct(F.struct(*FQ.FREQUENCY_KEYS[k])).alias(k) for k in keys]
+    )
+    near = [F.abs(F.col(f"unique_{k}") / F.col(k) - 1) <= 0.03 for k in keys]
+    return exact.join(united, "week").select("week", *keys, (near[0] & near[1] & near[2]).alias("within"))
+
+
 @query("unique_counts_approximate")
 def _(flows):
     return FQ.unique_counts_approx(flows, DAY)

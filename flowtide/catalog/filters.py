@@ -147,16 +147,18 @@ def _(flows):
 
 @query(
     "in_nested_network_list",
-    """WITH n AS (SELECT 28 + flow_id % 5 AS bits, 167772160 + (flow_id * 7919) % 65536 AS a FROM flows),
+    """WITH n AS (SELECT CASE WHEN flow_id % 997 = 3 THEN 31 ELSE 28 + flow_id % 5 END AS bits,
+                       CASE WHEN flow_id % 997 = 3 THEN 167772160 + flow_id % 16 ELSE 167772176 + (flow_id * 7919) % 65536 END AS a FROM flows),
             r AS (SELECT a - a % CAST(pow(2, 32 - bits) AS BIGINT) AS first, a - a % CAST(pow(2, 32 - bits) AS BIGINT) + CAST(pow(2, 32 - bits) AS BIGINT) - 1 AS last FROM n),
             m AS (SELECT DISTINCT a.dst_addr FROM (SELECT DISTINCT dst_addr FROM flows) a JOIN r ON a.dst_addr BETWEEN r.first AND r.last)
        SELECT flow_id, dst_addr FROM flows JOIN m USING (dst_addr)""",
 )
 def _(flows):
-    # a network for each flow, of five lengths, many within others
-    bits = F.lit(28) + F.col("flow_id") % 5
+    # a network for each flow, of five lengths, many within others; few hold an address of the flows
+    i = F.col("flow_id")
+    bits = F.when(i % 997 == 3, F.lit(31)).otherwise(F.lit(28) + i % 5)
     size = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.lit(32) - bits).cast("int"))
-    address = F.lit(167772160) + (F.col("flow_id") * 7919) % 65536
+    address = F.when(i % 997 == 3, F.lit(167772160) + i % 16).otherwise(F.lit(167772176) + (i * 7919) % 65536)
     nets = flows.select(
         bits.cast("int").alias("bits"), (address - address % size).alias("net"), F.lit(None).cast("bigint").alias("net_hi"), F.lit(None).cast("bigint").alias("net_lo")
     )

@@ -66,6 +66,37 @@ def _(flows):
     return files.read_window(spark, path, datetime(2024, 1, 5, 6), datetime(2024, 1, 6, 18)).select(*_KEPT)
 
 
+@query(
+    "stored_window_across_midnight",
+    f"""SELECT {_KEPT_SQL} FROM flows
+        WHERE first_ts >= TIMESTAMP '2024-01-05 22:30:00' AND last_ts <= TIMESTAMP '2024-01-06 01:10:00'""",
+)
+def _(flows):
+    # folders by the day a flow ended, files of a thousand flows or fewer
+    spark = flows.sparkSession
+    path = shared_folder(spark, "ranges")
+    by_end = flows.withColumn("ended", F.to_date("last_ts")).repartitionByRange(40, "first_ts")
+    by_end.write.partitionBy("ended").parquet(path)
+    files.write_manifest(spark, path)
+    return files.read_window_files(spark, path, datetime(2024, 1, 5, 22, 30), datetime(2024, 1, 6, 1, 10)).select(*_KEPT)
+
+
+@query(
+    "files_in_window",
+    """SELECT count(*) AS flows, max(CASE WHEN first_ts <= TIMESTAMP '2024-01-06 01:10:00' AND last_ts >= TIMESTAMP '2024-01-05 22:30:00' THEN 1 END) = 1 AS met, true AS fewer
+       FROM flows WHERE date_trunc('day', first_ts) IN (TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-06')""",
+)
+def _(flows):
+    """Of a file for each day of starts, the two that meet the window, and their flows."""
+    spark = flows.sparkSession
+    path = shared_folder(spark, "ranges")
+    flows.withColumn("day", F.to_date("first_ts")).repartition("day").write.partitionBy("day").parquet(path)
+    files.write_manifest(spark, path)
+    met = files.files_in_window(spark, path, datetime(2024, 1, 5, 22, 30), datetime(2024, 1, 6, 1, 10))
+    every = spark.read.parquet(f"{path}/{files.MANIFEST}")
+    return met.agg(F.sum("flows").alias("flows"), (F.count("file") == 2).alias("met"), F.lit(every.count() > 2).alias("fewer"))
+
+
 @query(
     "csv_round_trip",
     """SELECT strftime(date_trunc('second', first_ts), '%Y-%m-%d %H:%M:%S.%g') AS first_ts,

@@ -205,8 +205,11 @@ def k_clusters(rows: DataFrame, k: int, method: str = "mean", metric: str = "euc
     for run in range(restarts):
         order = F.xxhash64(F.lit(seed + run), F.to_json(F.struct(F.transform(features, lambda v: v + F.lit(0.0)).alias("f"))))  # -0.0 is 0.0
         hashed = rows.filter(F.col(features).isNotNull()).select(F.col(features).alias("_f"), order.alias("_o"))
-        # copies of a row have one hash; as centres they would leave clusters without rows
-        centres = [list(r[0]) for r in hashed.groupBy("_o").agg(F.first("_f").alias("_f")).orderBy("_o").limit(k).select("_f").collect()]
+        # copies of a row have one hash; as centres they would leave clusters without rows. Hashes
+        # are compared alone, and of the vectors only those with the least ones move
+        least = [r[0] for r in hashed.select("_o").distinct().orderBy("_o").limit(k).collect()]
+        chosen = hashed.filter(F.col("_o").isin(least)).groupBy("_o").agg(F.first("_f").alias("_f")).orderBy("_o")
+        centres = [list(r[0]) for r in chosen.select("_f").collect()]
         cost = float("inf")
         for step in range(1, max_iter + 1):
             near = _assigned(rows, centres, metric, features)

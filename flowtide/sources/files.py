@@ -88,6 +88,45 @@ def read_window(spark: SparkSession, path: str, start: datetime, end: datetime,
     return df.filter(days & inside)
 
 
+MANIFEST = "_manifest"
+_MANIFEST_SCHEMA = "file string, first_ts timestamp_ntz, last_ts timestamp_ntz, flows bigint"
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """Note for each file of a flow table the earliest start and the latest end of its flows, beside the files.
+
+    Names beginning with an underscore are not read as data. Reads two columns; call it again
+    after files were added.
+    """
+    ranges = (
+        spark.read.schema(_stored_schema()).parquet(path)
+        .groupBy(F.col("_metadata.file_path").alias("file"))
+        .agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.count(F.lit(1)).alias("flows"))
+    )
+    ranges.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{MANIFEST}")
+
+
+def files_in_window(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:
+    """The manifest's files whose flows' range meets [start, end]; a file without times is always kept."""
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
+    meets = (F.col("first_ts") <= last) & (F.col("last_ts") >= first)
+    return spark.read.schema(_MANIFEST_SCHEMA).parquet(f"{path.rstrip('/')}/{MANIFEST}").filter(F.coalesce(meets, F.lit(True)))
+
+
+def read_window_files(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:
+    """Flows inside [start, end] of a table with a manifest, however it is laid out.
+
+    Only files whose own range meets the window are opened, whatever folder they are in: flows
+    that cross midnight, or lie in another day's folder, are found without guessing by how
+    much. The driver holds the names of these files, as Spark's file index does.
+    """
+    names = [r.file for r in files_in_window(spark, path, start, end).select("file").collect()]
+    reader = spark.read.schema(_stored_schema())
+    df = reader.parquet(*names) if names else spark.createDataFrame([], _stored_schema())
+    inside = (F.col("first_ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("last_ts") <= F.lit(end).cast("timestamp_ntz"))
+    return df.filter(inside)
+
+
 # Accepted folder layouts -> the pieces of the date they are made of.
 LAYOUTS = {
     1: "%Y/%m/%d",
