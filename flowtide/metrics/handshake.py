@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.rates import epoch_s
 from flowtide.operators.aggregate import address_end, not_after
-from flowtide.plans.slots import keep, slot_streak, with_slot
+from flowtide.plans.slots import slot_streak, with_slot
 
 DELAY = 100
 SYN_FLOOD_THRESHOLD = 0.3
@@ -186,7 +186,7 @@ def syn_flood_of(counts: DataFrame, width: str, threshold: float = SYN_FLOOD_THR
     A slot violates when the entropy is at or below the threshold; the alarm comes after
     `violations` violating slots in a row and the count then starts again.
     """
-    slots = keep(with_entropy(counts))
+    slots = with_entropy(counts)
     low = F.col("entropy") <= threshold
     run = slot_streak(slots, low, "run", width)
     return run.withColumn(

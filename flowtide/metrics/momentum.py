@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.rates import div_or_zero
 from flowtide.metrics.frequency import packets_per_slot
-from flowtide.plans.slots import keep, previous_slot, running_slots
+from flowtide.plans.slots import previous_slot, running_slots
 
 MOMENTUM_THRESHOLD = 40.0
 ROC_THRESHOLD = 800.0
@@ -20,7 +20,7 @@ def _or_zero(c: Column) -> Column:
 
 def packet_series(slots: DataFrame, width: str) -> DataFrame:
     """Packets of each slot next to those of the two slots before it; takes (slot, packets)."""
-    return previous_slot(keep(slots.select("slot", "packets")), {"packets": F.col("packets")}, width, k=2)
+    return previous_slot(slots.select("slot", "packets"), {"packets": F.col("packets")}, width, k=2)
 
 
 def momentum(series: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def rsi(series: DataFrame, width: str, also: dict[str, tuple] | None = None) ->
     seen = F.col("packets_2").isNotNull()
     gain, loss = seen & (diff >= 0), seen & (diff < 0)
     run = running_slots(
-        keep(series),
+        series,
         {
             **(also or {}),
             "i": ("sum", F.lit(1).cast("bigint")),
@@ -99,7 +99,7 @@ def stock_market_of(
     high = (F.col("roc") >= roc_threshold) & (F.col("roc_prev") >= roc_threshold)
     series = series.withColumns({"hit": F.col("counted") & high, "miss": F.col("counted") & ~high})
     run = {"roc_run": ("since", F.col("hit").cast("bigint"), F.col("miss"))}
-    series = keep(rsi(series, width, run))
+    series = rsi(series, width, run)
     # a checkpoint that fails silences the rest of its run
     check = F.col("hit") & (F.col("roc_run") % violations == 0)
     failed = (check & (F.col("rsi") < rsi_threshold)).cast("bigint")

@@ -56,6 +56,13 @@ def test_windows_over_everything_only_see_blocks(spark, sf_dir):
             assert not re.search(r" (ASC|DESC) ", first) or first.startswith("_blk"), (name, first)
 
 
+@pytest.mark.parametrize("name", ["stock_market", "syn_flood"])
+def test_series_read_the_flows_once(spark, sf_dir, name):
+    """All parts of a series' plan share one shuffle of the counts per slot; nothing is written between them."""
+    plan = executed(QUERIES[name](spark, sf_dir))
+    assert plan.count("FileScan") == 1 and "events.parquet" in plan
+
+
 def test_filters_and_columns_reach_the_scan(stored):
     df = stored.filter(P.proto("tcp") & P.port("=", 443, "dst")).groupBy("src_addr").agg(F.sum("bytes"))
     plan = df._jdf.queryExecution().executedPlan().toString()
