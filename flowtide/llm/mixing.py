@@ -132,7 +132,9 @@ def _borders(narrow: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
     # a source may leave nothing to chance
     cut = stored(cut.union(start.join(cut, "t", "left_anti")), "border-slices")
     for level in (F.struct("key", "id"), F.shiftright("u", 33), F.col("u")):
+        # a row for each source, and the rows of one slice, id or block: written, so that plans stay small
         deeper, rows = _reached(rows, cut, level)
+        deeper, rows = stored(deeper, "border-levels"), stored(rows, "border-rows")
         # sources whose words are never reached have no rows left
         cut = deeper.union(cut.join(deeper, "t", "left_anti"))
     border = rows.select("t", F.struct("key", "id", "u").alias("border"))
