@@ -49,17 +49,21 @@ def test_filters_let_all_frequent_hashes_pass(spark):
     rng = np.random.default_rng(3)
     some = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
     hashes = np.concatenate([np.repeat(some[:200], 5), some])
-    ranges = buckets.Ranges(3, {1: 64, 2: 64})
+    ranges = buckets.Ranges(3, {1: 64, 2: 64, 3: 64})
+    classes_of = lambda g: (g >> np.uint64(13)).astype(np.uint16)
 
     def counted(batches):
         for batch in batches:
-            yield from buckets.bucket_rows(7, [batch.column(0).to_numpy().view(np.uint64)], ranges)
+            g = batch.column(0).to_numpy().view(np.uint64)
+            yield from buckets.bucket_rows(7, [g], ranges, [classes_of(g)])
 
     rows = spark.createDataFrame(pa.table({"h": hashes.view(np.int64)})).repartition(4)
-    made = buckets.frequent(rows.mapInArrow(counted, buckets.PARTS), ranges, {7: [(1, 2), (2, 6)]}, "test")
+    made = buckets.frequent(rows.mapInArrow(counted, buckets.PARTS), ranges, {7: [(1, 2), (2, 6)]}, "test", {2: 3})
     filters = buckets.Filters(ranges, [tuple(r) for r in made.collect()])
     assert filters.passes(1, some[:200]).all() and filters.passes(2, some[:200]).all()
     assert filters.passes(2, some[200:]).mean() < 0.05
+    assert filters.passes(3, some[:200], False, classes_of(some[:200])).all()
+    assert filters.passes(3, some[:200], False, classes_of(some[:200]) + np.uint16(1)).mean() < 0.05
     assert filters.passes(9, some[:3]).all() and not filters.passes(9, some[:3], unheld=False).any()
     assert buckets.Ranges.of(1 << 30, {1: 1 << 14, 2: 1 << 10}, 1 << 20).blocks == {1: 256, 2: 16}
 
