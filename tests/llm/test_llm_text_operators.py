@@ -96,6 +96,15 @@ def test_contaminated_rows_or_spans_go(spark):
     assert [r.text for r in cut] == ["é keep , keep", None, "clean"]
 
 
+def test_items_keep_capitals_at_their_edges(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 3)  # the last item takes several pieces
+    items = [(1, "Only"), (2, "LOUD WORDS"), (3, "Three More Words END"), (4, "Ab Bc Cd De Ef Fg Gh Hi Ij")]
+    docs = [(0, "nly only"), (1, "hear loud words"), (2, "three more words end"), (3, "x ab bc cd de ef fg gh hi ij"), (4, "hree more words")]
+    found = decontam.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=3)
+    for r in found.select("text", "hits.*").collect():
+        assert (r.n_words, r.n_hit, r["items"]) == plain_hits(r.text, items, 3)
+
+
 def test_empty_benchmark_and_table(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
