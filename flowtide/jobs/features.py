@@ -169,16 +169,14 @@ def kmeans(rows: DataFrame, k: int, restarts: int = 1, seed: int = 1, features:
     missing = rows.filter(F.exists(features, lambda v: v.isNull()) | F.col(features).isNull()).limit(1)
     if not missing.isEmpty():
         return k_clusters(rows, k, "mean", restarts=restarts, seed=seed, features=features, max_iter=max_iter)
-    data = rows.withColumn("_vec", array_to_vector(features)).persist()
-    try:
-        models = [
-            KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=0.0, featuresCol="_vec", predictionCol="cluster").fit(data)
-            for i in range(restarts)
-        ]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        cost, steps = best.summary.trainingCost, best.summary.numIter
-    finally:
-        data.unpersist()
+    # steps over blocks of rows, which a run caches for itself, are matrix products
+    data = rows.select(array_to_vector(features).alias("_vec"))
+    models = [
+        KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=0.0, solver="block", featuresCol="_vec", predictionCol="cluster").fit(data)
+        for i in range(restarts)
+    ]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    cost, steps = best.summary.trainingCost, best.summary.numIter
     if steps >= max_iter:
         raise RuntimeError(f"k-means has not converged in {max_iter} iterations")
     scored = best.transform(rows.withColumn("_vec", array_to_vector(features)))

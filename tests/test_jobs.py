@@ -262,6 +262,21 @@ def test_clusters_and_components(spark):
     assert len(FE.project_components(df, 2).first().coordinates) == 2
 
 
+def test_kmeans_steps_over_blocks(spark, monkeypatch):
+    given = []
+
+    class Recorded(FE.KMeans):
+        def _fit(self, data):
+            given.append((self.getSolver(), data.is_cached, data.columns))
+            return super()._fit(data)
+
+    monkeypatch.setattr(FE, "KMeans", Recorded)
+    df = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(20)], "i int, features array<double>")
+    found = FE.kmeans(df, 2, restarts=2).collect()
+    assert given == [("block", False, ["_vec"])] * 2
+    assert len({(r.i % 2, r.cluster) for r in found}) == 2 and all(r.within_cost == 0 for r in found)
+
+
 def test_clusters_with_missing_values_and_medians(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [None if k == 0 and rng.random() < 0.3 else float(v) for k, v in enumerate(np.array([0, 5, -5]) * (i % 3) + rng.normal(0, 0.2, 3))]) for i in range(60)]
