@@ -4,6 +4,7 @@ import ipaddress
 import random
 from pathlib import Path
 import statistics
+import warnings
 from datetime import datetime
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from conftest import make_flows
 from flowtide.functions.addresses import split_v6
-from flowtide.jobs import anonymise as AN, features as FE, upkeep
+from flowtide.jobs import anonymise as AN, centres, features as FE, upkeep
 from flowtide.jobs.quantiles import exact_median
 
 KEY = bytes(range(32))
@@ -292,6 +293,37 @@ def test_clusters_with_missing_values_and_medians(spark):
         FE.k_clusters(df, 3, max_iter=1)
 
 
+@pytest.mark.parametrize("listed", [200_000, 0])
+def test_steps_over_blocks_as_plain_ones(spark, monkeypatch, listed):
+    monkeypatch.setattr(centres, "LISTED", listed)  # none: bounds are narrowed until they rest
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(0, 1, (300, 5)), 1) * [1, 1, 1e6, 0, 1]
+    x[:, 4] = np.where(rng.random(300) < 0.5, -1.0, 1.0)  # two far values, as many of each at times
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows = [(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)] + [(300, None)]
+    df = spark.createDataFrame(rows, "i int, features array<double>").repartition(3)
+    blocks = centres.Blocks(df, "features")
+    old = np.array([[0.0] * 5, [1.0, np.nan, 2e5, 0.0, 1.0], [1e9] * 5])
+    extent = blocks.extent()
+    assert np.array_equal(extent[0], np.nanmin(x, 0)) and np.array_equal(extent[1], np.nanmax(x, 0))
+    for metric in FE.METRICS:
+        d = np.stack([centres.distances(x.T, c, metric) for c in old])
+        near = d.argmin(0)
+        cols = [F.array(*[F.lit(None if np.isnan(v) else float(v)).cast("double") for v in c]) for c in old]
+        plain = df.filter("i < 300").orderBy("i").select(*[FE.distance(F.col("features"), c, metric) for c in cols]).collect()
+        assert np.array_equal(d.T, np.array([tuple(r) for r in plain]))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            mean, middle = (np.stack([f(x[near == c], 0) for c in range(3)]) for f in (np.nanmean, np.nanmedian))
+        cost, got = blocks.means(old, metric)
+        assert cost == pytest.approx(d.min(0).sum()) and np.allclose(got, mean, equal_nan=True)
+        guesses = ((-9.0, 9e7), (0.3, 0.4), (1e8, 1e9), (0.0, 0.0))
+        for low, high in guesses if metric == "cityblock" else guesses[:1]:
+            cost, got = blocks.medians(old, metric, np.full((3, 5), low), np.full((3, 5), high), extent)
+            assert cost == pytest.approx(d.min(0).sum()) and np.array_equal(got, middle, equal_nan=True)
+    blocks.drop()
+
+
 def test_clusters_of_copies_start_apart(spark):
     points = [[0.0, 0.0], [0.0, 9.0], [9.0, 0.0], [9.0, 9.0]]
     rows = [(i, points[0 if i < 90 else i % 4]) for i in range(100)] + [(100, [-0.0, 0.0])]
