@@ -291,7 +291,8 @@ def read_flows_csv(spark: SparkSession, *paths: str) -> DataFrame:
         text, v6 = F.col(name), F.contains(F.col(name), F.lit(":"))
         digits = _v6_digits(text)
         v4 = {"src": "src_addr", "dst": "dst_addr"}.get(addr, addr)
-        cols[v4] = F.when(~v6, _parse_v4(text))
+        # added, not nested: below a condition the text would be split anew for each octet
+        cols[v4] = _parse_v4(text) + F.when(~v6, F.lit(0))
         cols[f"{addr}_hi"] = F.when(v6, _hex_half(digits, 1))
         cols[f"{addr}_lo"] = F.when(v6, _hex_half(digits, 17))
     for name, col in _CSV_MACS.items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -108,6 +109,17 @@ def test_summary_without_flows(spark):
     assert (r.flows, r.bytes, r.avg_bps, r.first_seen) == (0, 0, 0, None)
 
 
+def test_csv_addresses_are_split_once(spark, tmp_path):
+    texts = {"10.0.0.1": 167772161, "::ffff:1.2.3.4": None, "1.2.3": None, "1.2.3.4.5:6": None, "2001:db8::1": None, "255.255.255.255": 2**32 - 1}
+    lines = [",".join(t if c == "sa" else "0" for c in files.CSV_COLUMNS) for t in texts]
+    (tmp_path / "flows.csv").write_text("\n".join([",".join(files.CSV_COLUMNS), *lines]) + "\n")
+    back = files.read_flows_csv(spark, str(tmp_path / "flows.csv")).select("src_addr")
+    assert [r.src_addr for r in back.collect()] == list(texts.values())
+    # what is below a condition is evaluated once for each use
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and not any("split(" in case for case in re.findall(r"CASE WHEN .*? END", plan) + re.findall(r"if \(.*", plan))
+
+
 def test_csv_keeps_every_field(spark, tmp_path):
     rows = [
         dict(is_v6=True, src_hi=0x20010DB8 << 32, src_lo=-1, dst_hi=-2, dst_lo=3, prot=200, tcp_flags=200, packets=5, bytes=6, mpls=[1, 2, 3, 4, 5, 6, 7, 8, 9, 10],
