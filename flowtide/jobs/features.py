@@ -279,6 +279,11 @@ def distance(x: Column, y: Column, metric: str = "euclid", weights: list[float]
     """
     if metric not in METRICS:
         raise ValueError(f"unknown distance: {metric}")
+    if not weights and metric in ("euclid", "cityblock"):
+        # one term, NULL where a side is missing: no list of triples is built
+        term = (lambda a, b: (a - b) * (a - b)) if metric == "euclid" else (lambda a, b: F.abs(a - b))
+        given = F.filter(F.zip_with(x, y, lambda a, b: term(a, b).cast("double")), lambda v: v.isNotNull())
+        return _let({"v": given}, lambda s: F.when(F.size(s["v"]) == 0, 0.0).otherwise(_total(s["v"]) / F.size(s["v"])))
     w = F.array(*[F.lit(float(v)) for v in weights]) if weights else F.transform(x, lambda v: F.lit(1.0))
     zipped = F.filter(
         F.arrays_zip(x.alias("x"), y.alias("y"), w.alias("w")),

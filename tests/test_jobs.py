@@ -242,6 +242,15 @@ def test_distances(spark):
             assert flat == 1.0
 
 
+@pytest.mark.parametrize("metric", ["euclid", "cityblock"])
+def test_distances_without_weights_are_plain_sums(spark, metric):
+    df = spark.sql("SELECT * FROM VALUES (array(1.5D, 2D, NULL), array(0D, NULL, 3D)), (array(0.1D, 0.7D), array(1.1D, 2.7D, 9.3D)), (NULL, array(1D)), (array(NULL), array(1D)) t(x, y)")
+    out = df.select(FE.distance(F.col("x"), F.col("y"), metric).alias("d"))
+    plain = df.select(FE.distance(F.col("x"), F.col("y"), metric, [1.0] * 3)).collect()
+    assert [tuple(r) for r in out.collect()] == [tuple(r) for r in plain]
+    assert "arrays_zip" not in df.select(FE.distance(F.col("x"), F.col("y"), metric))._jdf.queryExecution().analyzed().toString()
+
+
 def test_clusters_and_components(spark):
     rng = np.random.default_rng(2)
     centres = np.array([[0, 0, 0], [10, 0, 0], [0, 10, 5]], dtype=float)
