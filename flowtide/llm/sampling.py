@@ -45,8 +45,10 @@ def fitted(sample: DataFrame, order: str, fit: Callable[[pa.Table], Any], *colum
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [*batches]
-        table = pa.Table.from_batches(held) if held else None
-        yield pa.record_batch([pa.array([pickle.dumps(fit(table.sort_by(order) if table else None))], pa.binary())], names=["model"])
+        table = pa.Table.from_batches(held).sort_by(order) if held else None
+        # the unsorted rows go before the fit begins
+        del held
+        yield pa.record_batch([pa.array([pickle.dumps(fit(table or None))], pa.binary())], names=["model"])
 
     rows = sample.select(*columns or ("*",)).repartition(1).mapInArrow(task, "model binary").collect()
     return pickle.loads(rows[0][0]) if rows else fit(None)

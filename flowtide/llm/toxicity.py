@@ -8,7 +8,7 @@ labels through the noisy-or; the sentences that make a document toxic then stand
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import erfc, sqrt
 
 import numpy as np
@@ -30,6 +30,8 @@ EPOCHS = 12
 BATCH_DOCS = 64
 RATE = 0.4
 DECAY = 2e-4
+#: words of documents that are counted at once, about
+COUNTED_WORDS = 1 << 18
 #: documents of the sample that have a feature, at least, for it to get a weight
 MIN_DOCS = 5
 PRIOR = -10.0
@@ -122,28 +124,36 @@ def fit(table: pa.Table | None) -> ToxicityModel:
     labels = np.array(table.column("toxic").to_pylist(), float) if table is not None else np.zeros(0)
     if not 0 < labels.sum() < len(labels):
         return model
-    # each different word once; sentences are runs of word numbers, documents runs of sentences
-    seen, hashes, first, text, again, words_so_far = [], [], [], [], [], 0
+    # each different word once; sentences are runs of word numbers, documents runs of sentences;
+    # features are made of words not met before only, and of a block four bytes a word stay
+    known, seen, own, places, first, text, again, words_so_far = np.zeros(0, np.uint64), [], [], [], [], [], [], 0
     for block in words(table.column("text").combine_chunks(), ALPHANUMERIC, lower=True):
         f, t = _sentences(block)
-        seen.append(_word_features(block))
-        hashes.append(block.hashes())
+        hashes, one, place = np.unique(block.hashes(), return_index=True, return_inverse=True)
+        # in order of the text
+        one = np.sort(one[~np.isin(hashes, known, assume_unique=True)])
+        some = replace(block, start=block.start[one], end=block.end[one])
+        known = np.concatenate([known, some.hashes()])
+        seen.append(_word_features(some))
+        own.append(hashes)
+        places.append(place.astype(np.int32))
         again.append(_repeats(block))
         first.append(f + words_so_far)
         text.append(t + block.row)
         words_so_far += len(block.start)
-    _, one, numbers = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    features = np.concatenate(seen)[one]
-    del seen, hashes
-    numbers = np.where(np.concatenate(again), len(features), numbers)
+    order = np.argsort(known)
+    known, features = known[order], np.concatenate(seen)[order]
+    numbers = np.concatenate([np.searchsorted(known, h).astype(np.int32)[p] for h, p in zip(own, places)])
+    del seen, own, places, known
+    numbers[np.concatenate(again)] = len(features)
     first, text = np.append(np.concatenate(first), words_so_far), np.concatenate(text)
     starts = np.searchsorted(text, np.arange(len(labels) + 1))  # first sentence of each document
     # features whose documents have one label oftener than chance explains get weights, and begin
     # at half their log odds; words without such features, and repeats, say nothing from here on
-    proven, odds = _proven(features, numbers, first, text, labels)
+    proven, odds = _proven(features, numbers, first[starts], labels)
     usable = proven[features]
     says = np.append(usable.any(1), False)[numbers]
-    first = np.concatenate([[0], np.cumsum(says)])[first]
+    first = np.searchsorted(np.flatnonzero(says), first)
     numbers = numbers[says]
     squares, bias_square = np.full(1 << BITS, 1e-6), 1e-6
     rng = np.random.default_rng(7)
@@ -183,18 +193,26 @@ def fit(table: pa.Table | None) -> ToxicityModel:
     return model
 
 
-def _proven(features: np.ndarray, numbers: np.ndarray, first: np.ndarray, text: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features that depend on the label, and their log odds: G test, false discoveries bounded."""
-    n = len(labels)
-    owner = np.repeat(text, np.diff(first))
-    real = numbers < len(features)
-    pairs = np.unique(numbers[real].astype(np.int64) * n + owner[real])
-    word, doc = pairs // n, pairs % n
+def _proven(features: np.ndarray, numbers: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features that depend on the label, and their log odds: G test, false discoveries bounded.
+
+    `bounds` has the first word of each document, with an end. Documents are counted some at a time.
+    """
+    n, at = len(labels), 0
     counts = np.zeros((2, 1 << BITS))
-    for k in range(features.shape[1]):
-        both = np.unique(features[word, k].astype(np.int64) * n + doc)
-        for label in (0, 1):
-            counts[label] += np.bincount((both // n)[labels[both % n] == label], minlength=1 << BITS)
+    while at < n:
+        stop = max(int(np.searchsorted(bounds, bounds[at] + COUNTED_WORDS, side="right")) - 1, at + 1)
+        part, label_of = numbers[bounds[at] : bounds[stop]], labels[at:stop]
+        m = stop - at
+        owner = np.repeat(np.arange(m), np.diff(bounds[at : stop + 1]))
+        real = part < len(features)
+        pairs = np.unique(part[real].astype(np.int64) * m + owner[real])
+        word, doc = pairs // m, pairs % m
+        for k in range(features.shape[1]):
+            both = np.unique(features[word, k].astype(np.int64) * m + doc)
+            for label in (0, 1):
+                counts[label] += np.bincount((both // m)[label_of[both % m] == label], minlength=1 << BITS)
+        at = stop
     size = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
     g = np.zeros(1 << BITS)
     with np.errstate(divide="ignore", invalid="ignore"):

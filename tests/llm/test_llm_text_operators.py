@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -144,6 +145,29 @@ def test_toxicity_learns_from_documents_and_finds_sentences(spark):
     assert np.array_equal(again.weights, model.weights) and again.bias == model.bias
 
 
+def test_fit_holds_few_bytes_a_word(monkeypatch):
+    """A fit keeps four bytes of each word and the features of each different word, not of every word."""
+    peaks = []
+    for n in (1500, 3000):
+        rng = np.random.default_rng(3)
+        said = np.array([f"w{k:04d}" for k in range(4000)])
+        toxic = np.arange(n) % 2
+        texts = [" ".join(said[rng.integers(0, 4000, 400)]) + " bad words here" * int(y) for y in toxic]
+        table = pa.table({"text": texts, "toxic": toxic})
+        toxicity.fit(table.slice(0, 10))
+        tracemalloc.start()
+        model = toxicity.fit(table)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert (peaks[1] - peaks[0]) / (1500 * 400) < 40
+    # documents that are counted some at a time, or all at once, give one model
+    for size in (1000, 1 << 30):
+        monkeypatch.setattr(toxicity, "COUNTED_WORDS", size)
+        other = toxicity.fit(table)
+        assert np.array_equal(other.weights, model.weights) and other.bias == model.bias
+    assert model.weights.any()
+
+
 def test_toxicity_of_odd_texts(spark):
     model = toxicity.fit(None)
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, " .!", 3), (4, "word " * 50_000, 4)], "doc_id long, text string, score int")
