@@ -229,6 +229,26 @@ def test_likelier_documents_are_taken_oftener(spark):
     assert taken[3.0] > 1.8 * taken[1.0] and sum(taken.values()) == pytest.approx(3000, abs=10)
 
 
+@pytest.mark.parametrize("module, write, step", [
+    (mixing, "stored", lambda docs: mixing.mixed(docs)),
+    (overlaps, "stored_tidily", lambda docs: overlaps.without_near_duplicates(docs)),
+])
+def test_tables_between_steps_keep_plans_small(spark, monkeypatch, module, write, step):
+    """The driver holds each plan, and again at every update of it: none repeats the steps before."""
+    sizes, plain = [], getattr(module, write)
+
+    def counted(df, purpose):
+        sizes.append((len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()), purpose))
+        return plain(df, purpose)
+
+    monkeypatch.setattr(module, write, counted)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(30))) for _ in range(40)]
+    docs = spark.createDataFrame([(k, rng.choice([None, "x", "y"]), t) for k, t in enumerate(texts + texts[:5])], "doc_id long, source string, text string")
+    assert step(docs).count()
+    assert max(sizes)[0] <= 40, max(sizes)
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_sources(empty).count() == 0
