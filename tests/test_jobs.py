@@ -343,3 +343,23 @@ def test_clusters_of_copies_start_apart(spark):
         assert all(r.within_cost == 0 and r.converged for r in found)
     # fewer different vectors than clusters: one cluster for each
     assert len({r.cluster for r in FE.k_clusters(df, 6, "median", "cityblock").collect()}) == 4
+
+
+def test_median_steps_take_one_pass_where_few_values_are_near(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (3000, 3)).astype(np.float32).astype(float)
+    x[:, 2] = rng.normal(0, 1, 3000)  # not exact in four bytes
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, features array<double>").repartition(2)
+    blocks = centres.Blocks(df, "features")
+    passes, plain = [], centres.Blocks._run
+    monkeypatch.setattr(centres.Blocks, "_run", lambda self, *a, **k: (passes.append(1), plain(self, *a, **k))[1])
+    old = np.array([[0.0, 0.0, 0.0], [0.5, -0.5, 1.0]])
+    near = np.stack([centres.distances(x.T, c, "cityblock") for c in old]).argmin(0)
+    middle = np.stack([np.median(x[near == c], 0) for c in range(2)])
+    got = blocks.medians(old, "cityblock", middle - 0.1, middle + 0.1, blocks.extent())[1]
+    assert np.array_equal(got, middle) and len(passes) == 1
+    # where a task meets too many, the bounds are narrowed first
+    monkeypatch.setattr(centres, "LISTED", 100)
+    got = blocks.medians(old, "cityblock", middle - 0.1, middle + 0.1, blocks.extent())[1]
+    assert np.array_equal(got, middle) and len(passes) > 2
+    blocks.drop()
