@@ -363,3 +363,15 @@ def test_five_thousand_near_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     got = sorted(r.doc_id for r in overlaps.without_near_duplicates(docs).collect())
     assert got == sorted(set(label.tolist())) and 100 < len(got) < n - 100
+
+
+def test_collocations_over_several_shards_of_a_pass(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(["en", "de"][i % 2], " ".join(f"w{k}" for k in rng.integers(0, 6, 60))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    whole = sorted(phrases.phrase_counts(docs, 3)[0].collect())
+    reads, plain = [], phrases._counted
+    monkeypatch.setattr(phrases, "_counted", lambda held: (reads.append(sorted(held)), plain(held))[1])
+    monkeypatch.setattr(phrases, "SUMMED", 1)  # sums are sent in parts
+    assert sorted(phrases.phrase_counts(docs, 3, shard_phrases=100)[0].collect()) == whole
+    assert len(reads[0]) == 4 and len(reads) * 4 >= max(max(r) for r in reads) + 1 > 4
